@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from mnemora.llm import bpe, dedupe, residue, sitelines, topn
+from mnemora.llm import bpe, dedupe, neardup, residue, sitelines, topn
 from mnemora.runtime import table as t
 
 
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: residue.found(t(s, d, "documents")),
+        "p2_found": lambda s, d: neardup.found(t(s, d, "documents")),
+        "p2_classes": lambda s, d: neardup.classes(t(s, d, "documents")),
         "p3_found": lambda s, d: dedupe.found(t(s, d, "links"), t(s, d, "histories")),
         "p3_counts": lambda s, d: dedupe.counts(t(s, d, "links"), t(s, d, "histories")),
         "p5_found": lambda s, d: topn.top_n(t(s, d, "history_links"), "history_id", "count", "link_id", 5).select("history_id", "link_id"),
