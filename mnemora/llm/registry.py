@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemora.llm import bpe, dedupe, neardup, residue, sitelines, topn
+from mnemora.llm import bpe, dedupe, mainbody, neardup, residue, sitelines, topn
 from mnemora.runtime import table as t
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "p2_classes": lambda s, d: neardup.classes(t(s, d, "documents")),
         "p3_found": lambda s, d: dedupe.found(t(s, d, "links"), t(s, d, "histories")),
         "p3_counts": lambda s, d: dedupe.counts(t(s, d, "links"), t(s, d, "histories")),
+        "p4_found": lambda s, d: mainbody.found(t(s, d, "captures")),
         "p5_found": lambda s, d: topn.top_n(t(s, d, "history_links"), "history_id", "count", "link_id", 5).select("history_id", "link_id"),
         "p6_found": lambda s, d: sitelines.found(t(s, d, "documents")),
         "p6_clean": lambda s, d: sitelines.clean(t(s, d, "documents")),
