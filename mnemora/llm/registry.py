@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemora.llm import bpe, dedupe, mainbody, neardup, readlevel, residue, sitelines, topn
+from mnemora.llm import bpe, dedupe, mainbody, mixing, neardup, readlevel, residue, sitelines, topn
 from mnemora.runtime import table as t
 
 
@@ -18,6 +18,8 @@ def queries() -> dict:
         "p6_found": lambda s, d: sitelines.found(t(s, d, "documents")),
         "p6_clean": lambda s, d: sitelines.clean(t(s, d, "documents")),
         "p7_ids": lambda s, d: bpe.ids(t(s, d, "documents")),
+        "p8_selection": lambda s, d: mixing.selection(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p8_shares": lambda s, d: mixing.shares(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_found": lambda s, d: readlevel.found(t(s, d, "documents"), t(s, d, "reading_labels")),
         "p9_levels": lambda s, d: readlevel.levels(t(s, d, "documents"), t(s, d, "reading_labels")),
     }
