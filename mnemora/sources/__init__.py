@@ -1 +1,96 @@
+"""Readers of messages, tables and settings."""
 
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mnemora import schemas
+
+
+def stored_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table, or an empty one of the schema where nothing is stored yet."""
+    if not Path(path).exists():
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def documents_json(spark: SparkSession, path: str) -> DataFrame:
+    """Posted documents, one JSON object per line; unknown members are dropped."""
+    return spark.read.schema(schemas.DOCUMENT).json(path)
+
+
+def documents_from_messages(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Documents from a column of JSON texts; broken ones give no row."""
+    return messages.select(F.from_json(F.col(column), schemas.DOCUMENT).alias("d")).where("d is not null and d.url is not null").select("d.*")
+
+
+def documents_from_form(form: DataFrame) -> DataFrame:
+    """Documents from form fields: address, title and text; the rest is empty."""
+    return form.select("url", "title", "text", F.lit("").alias("html"), F.lit("").alias("favicon"))
+
+
+def clicks_json(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.CLICK).json(path)
+
+
+def queries_from_messages(column: Column) -> Column:
+    """Query messages; null for broken ones and for a null message."""
+    return F.from_json(column, schemas.QUERY)
+
+
+@dataclass(frozen=True)
+class Config:
+    directory: str = "~/.config/mnemora"
+    search_url: str = "https://google.com/search?q={query}"
+    log_level: str = "info"
+    address: str = "127.0.0.1:4433"
+    base_url: str = ""
+    database: str = "db"
+
+    def checked(self) -> Config:
+        """With the default base address, which must have a scheme and a host."""
+        base = (self.base_url or f"http://{self.address}").removesuffix("/")
+        scheme, sep, rest = base.partition("://")
+        if not (scheme and sep and rest.split("/")[0]):
+            raise ValueError(f"base_url needs a scheme and a host: {base!r}")
+        return replace(self, base_url=base)
+
+    def full_path(self, name: str) -> str:
+        """Absolute names stay, names that begin with a dot are relative to the working folder, others to the
+        application's."""
+        if name.startswith("/"):
+            return name
+        return str(Path.cwd() / name) if name.startswith(".") else str(Path(self.directory).expanduser() / name)
+
+    @classmethod
+    def load(cls, path: str | None = None) -> Config:
+        """From the given file, else the first of the usual places, else defaults. The file holds ``key: value`` lines,
+        in sections or not."""
+        places = [path] if path else ["~/.mnemorarc", "~/.config/mnemora/config.yml"]
+        for p in places:
+            file = Path(p).expanduser()
+            if file.exists():
+                return cls.parse(file.read_text())
+            if path:
+                raise FileNotFoundError(path)
+        return cls().checked()
+
+    @classmethod
+    def parse(cls, text: str) -> Config:
+        known = set(cls.__dataclass_fields__)
+        found = {}
+        for line in text.splitlines():
+            key, sep, value = line.split("#", 1)[0].strip().partition(":")
+            if sep and key.strip() in known and value.strip():
+                found[key.strip()] = value.strip().strip("'\"")
+        return cls(**found).checked()
+
+    def write(self, path: str) -> None:
+        """Refuses to replace a file."""
+        with open(path, "x") as f:
+            f.write("".join(f"{k}: {getattr(self, k)}\n" for k in self.__dataclass_fields__))

@@ -1 +1,77 @@
+"""Structured Streaming: ingest, click counts, change capture. The transformations are those of the batch side."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from mnemora.operators import documents as D
+from mnemora.rules import Rules
+
+
+def read(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "json", per_trigger: int = 64) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(kind).load(folder)
+
+
+def ingest(captures: DataFrame, out: str, checkpoint: str, rules: Rules = Rules(), base_url: str = "http://127.0.0.1:4433") -> StreamingQuery:
+    """Accepted documents, appended per batch under batch=N. A batch that is run again replaces its own files, so
+    nothing is stored twice. ``current`` reads the latest version per address."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        docs = D.accepted(D.from_capture(batch), rules, base_url)
+        docs.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str, order: str = "captured_at") -> DataFrame:
+    return D.latest(spark.read.parquet(out), "url", F.col(order), F.col("batch"))
+
+
+def click_counts(clicks: DataFrame, checkpoint: str, out: str, late: str = "30 days") -> StreamingQuery:
+    """Running counts per (query, url). A click that is sent again within the watermark counts once. Each batch
+    writes the groups that changed; the last batch of a group holds its count (see ``latest_counts``)."""
+    once = clicks.where("url is not null and query is not null").withWatermark("received_at", late).dropDuplicatesWithinWatermark(["click_id"])
+    counts = once.groupBy("query", "url").agg(F.count(F.lit(1)).alias("count"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).groupBy("query", "url").agg(F.max_by("count", "batch").alias("count"))
+
+
+_CHANGE = T.StructType([T.StructField("key", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("content", T.LongType())])
+_STATE = T.StructType([T.StructField("content", T.LongType())])
+
+
+def _changed(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values(["at", "content"])
+    last = state.get[0] if state.exists else None
+    before = rows["content"].shift()
+    before.iloc[0] = last
+    keep = rows["content"].ne(before) | before.isna()
+    state.update((int(rows["content"].iloc[-1]),))
+    yield rows[keep][["key", "at", "content"]]
+
+
+def changes(versions: DataFrame) -> DataFrame:
+    """Versions (key, at, content hash) that differ from the one before of their key. The state is one number per key;
+    a batch's rows of one key are held together, which bounds a batch by files per trigger."""
+    return versions.groupBy("key").applyInPandasWithState(_changed, _CHANGE, _STATE, "append", "NoTimeout")
+
+
+def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs what is available and returns what came out, in memory; for tests and small tools."""
+    df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
 
