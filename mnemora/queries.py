@@ -176,8 +176,9 @@ QUERIES_BY_KEY = {
     "term_not": _search("garden -printer"),
     "not_only": _search("-garden"),
     "should_only": _search("garden bahnhof", rewrite=False),
-    "phrase": _search('"broke the"'),
-    "neg_phrase": _search('garden -"broke the"', rewrite=False),
+    "phrase": _search('"broken market"'),
+    "phrase_gap": _search('"broke the template"'),  # a stop word holds its place, any word may stand there
+    "neg_phrase": _search('garden -"broken market"', rewrite=False),
     "wildcard_term": _search("gard*"),
     "wildcard_q": _search("gar?en"),
     "url_wildcard": _search("garden url:*blog*"),
@@ -225,7 +226,9 @@ def _tok(c: str) -> str:
 _D = f"{_DOCS}, k AS (SELECT url, title, text, lower(url) u, {_tok('title')} ta, {_tok('text')} xa FROM docs), d AS (SELECT *, list_filter(ta, lambda w: NOT list_contains({_list(X.STOP_WORDS)}, w)) tt, list_filter(xa, lambda w: NOT list_contains({_list(X.STOP_WORDS)}, w)) xt FROM k)"
 _HAS = lambda w: f"(list_contains(tt, '{w}') OR list_contains(xt, '{w}') OR u = '{w}')"
 _ANY = lambda p: f"(len(list_filter(tt, lambda w: regexp_full_match(w, '{p}'))) > 0 OR len(list_filter(xt, lambda w: regexp_full_match(w, '{p}'))) > 0 OR regexp_full_match(u, '{p}'))"
-_PHRASE = "((' ' || array_to_string(ta, ' ') || ' ') LIKE '% broke the %' OR (' ' || array_to_string(xa, ' ') || ' ') LIKE '% broke the %')"
+_PAD = "(' ' || array_to_string({}, ' ') || ' ')"
+_PHRASE = f"({_PAD.format('ta')} LIKE '% broken market %' OR {_PAD.format('xa')} LIKE '% broken market %')"
+_GAP = f"(regexp_matches({_PAD.format('ta')}, ' broke [^ ]+ template ') OR regexp_matches({_PAD.format('xa')}, ' broke [^ ]+ template '))"
 _where = lambda w: f"WITH {_D} SELECT url FROM d WHERE {w}"
 _skip, _prio = (R.combined(p).replace("'", "''") for p in (RULES.skip, RULES.priority))
 
@@ -279,6 +282,7 @@ SQL_BY_KEY = {
     "not_only": _where(f"NOT {_HAS('garden')}"),
     "should_only": _where(f"{_HAS('garden')} OR {_HAS('bahnhof')}"),
     "phrase": _where(_PHRASE),
+    "phrase_gap": _where(_GAP),
     "neg_phrase": _where(f"{_HAS('garden')} AND NOT {_PHRASE}"),
     "wildcard_term": _where(_ANY("gard.*")),
     "wildcard_q": _where(_ANY("gar.en")),

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_S, _L, _I, _D, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.TimestampType()
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
 
+def _struct(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in columns.items()])
 
-DOCUMENT = _struct("url string, html string, title string, text string, favicon string, score double")
-FORM_DOCUMENT = _struct("url string, title string, text string")
-CAPTURE = _struct("text string, title string, url string, html string, faviconURL string, favicon string")
-CLICK = _struct("url string, title string, query string")
-QUERY = _struct("text string, highlight string, fields array<string>")
-RULES = _struct("skip array<string>, priority array<string>, aliases map<string,string>")
-_COMMON = "id long, created_at timestamp, updated_at timestamp, deleted_at timestamp"
-LINK = _struct(f"{_COMMON}, url string, title string")
-HISTORY = _struct(f"{_COMMON}, query string")
-HISTORY_LINK = _struct(f"{_COMMON}, history_id long, link_id long, count long")
-URL_COUNT = _struct("url string, title string, count long")
-POSTING = _struct("url string, field string, term string, freq int, positions array<int>, field_len int, all_len int")
-RESULT = _struct(
-    "total long, query struct<text:string,highlight:string,fields:array<string>>, documents array<struct<url:string,html:string,title:string,text:string,favicon:string,score:double>>, history array<struct<url:string,title:string,count:long>>"
-)
+
+DOCUMENT = _struct(url=_S, html=_S, title=_S, text=_S, favicon=_S, score=_D)
+FORM_DOCUMENT = _struct(url=_S, title=_S, text=_S)
+CAPTURE = _struct(text=_S, title=_S, url=_S, html=_S, faviconURL=_S, favicon=_S)
+CLICK = _struct(url=_S, title=_S, query=_S)
+QUERY = _struct(text=_S, highlight=_S, fields=T.ArrayType(_S))
+RULES = _struct(skip=T.ArrayType(_S), priority=T.ArrayType(_S), aliases=T.MapType(_S, _S))
+_COMMON = {"id": _L, "created_at": _TS, "updated_at": _TS, "deleted_at": _TS}
+LINK = _struct(**_COMMON, url=_S, title=_S)
+HISTORY = _struct(**_COMMON, query=_S)
+HISTORY_LINK = _struct(**_COMMON, history_id=_L, link_id=_L, count=_L)
+URL_COUNT = _struct(url=_S, title=_S, count=_L)
+POSTING = _struct(url=_S, field=_S, term=_S, freq=_I, positions=T.ArrayType(_I), field_len=_I, all_len=_I)
+RESULT = _struct(total=_L, query=QUERY, documents=T.ArrayType(DOCUMENT), history=T.ArrayType(URL_COUNT))
