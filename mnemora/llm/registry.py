@@ -25,5 +25,35 @@ def queries() -> dict:
     }
 
 
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_P2 = f"""
+WITH w AS (SELECT doc_id, {_WORDS} w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g FROM w WHERE len(w) >= 40),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT x AS doc_id_a, y AS doc_id_b FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 2 * c >= p.n + q.n - c"""
+
+_DROP = r"[^\p{L}\p{N}]+"
+_FIELD = "regexp_matches(x, '^[-+]?(url:|title:|text:)')"
+_TERM = r"(CASE WHEN x LIKE '-%' THEN '-' ELSE '' END || regexp_replace(x, '[^\p{L}\p{N}*]+', '', 'g'))"
+_P3 = rf"""
+WITH l AS (SELECT 'links' table_name, id, lower(upper(url)) u FROM links WHERE url IS NOT NULL),
+lk AS (SELECT table_name, id, 'l' || regexp_replace(split_part(u, '?', 1), '{_DROP}', '', 'g') || chr(1) || array_to_string(list_sort(list_filter(list_transform(string_split(CASE WHEN contains(u, '?') THEN substr(u, instr(u, '?') + 1) ELSE '' END, '&'), lambda x: regexp_replace(x, '{_DROP}', '', 'g')), lambda x: x <> '')), chr(2)) k FROM l),
+h AS (SELECT 'histories' table_name, id, list_filter(string_split_regex(lower(upper(query)), '[\s\x{{a0}}\x{{85}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) t FROM histories WHERE query IS NOT NULL),
+hk AS (SELECT table_name, id, 'h' || array_to_string(list_transform(list_filter(t, lambda x: NOT {_FIELD}), lambda x: {_TERM}), chr(2)) || chr(1) || array_to_string(list_sort(list_transform(list_filter(t, lambda x: {_FIELD}), lambda x: {_TERM})), chr(2)) k FROM h),
+r AS (SELECT table_name, id, min(id) OVER (PARTITION BY table_name, k) keep_id FROM (SELECT * FROM lk UNION ALL SELECT * FROM hk))"""
+_P6 = r"""
+WITH l AS (SELECT doc_id, source, captured_at, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no FROM documents),
+m AS (SELECT doc_id, source, line_no, trim(regexp_replace(lower(x), '[\s\x{a0}\x{85}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', ' ', 'g')) y FROM l),
+g AS (SELECT source, y FROM m WHERE y <> '' GROUP BY source, y HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, line_no::INT AS line_no FROM m JOIN g USING (source, y)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _P2,
+        "p3_found": _P3 + " SELECT table_name, keep_id, id AS copy_id FROM r WHERE id <> keep_id",
+        "p3_counts": _P3 + " SELECT table_name, keep_id, count(DISTINCT id) AS n_copies FROM r GROUP BY ALL",
+        "p5_found": 'SELECT history_id, link_id FROM (SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY "count" DESC, link_id) rn FROM (SELECT DISTINCT history_id, link_id, "count" FROM history_links WHERE history_id IS NOT NULL AND "count" IS NOT NULL AND link_id IS NOT NULL)) WHERE rn <= 5',
+        "p6_found": _P6,
+    }
