@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from mnemora.llm import residue, sitelines
 from mnemora.runtime import cut, lookup_join
@@ -103,14 +104,15 @@ class Level:
 
 
 def fit(docs: list[tuple[int, list[str], float]]) -> Level:
-    """From (doc_id, words, grade). Deterministic: folds follow the order of ids."""
+    """From (doc_id, words, grade). Deterministic: folds follow a hash of the id."""
     docs = sorted((d for d in docs if d[1]), key=lambda d: d[0])
+    fold = [xxh3_64_intdigest(b"%d" % d[0]) % FOLDS for d in docs]
     grades = word_grades([d[1:] for d in docs]) if docs else {}
     rows, target = [], []
     for f in range(FOLDS):
-        part = word_grades([d[1:] for i, d in enumerate(docs) if i % FOLDS != f]) if len(docs) > 1 else {}
+        part = word_grades([d[1:] for i, d in enumerate(docs) if fold[i] != f]) if len(docs) > 1 else {}
         for i, (_, words, g) in enumerate(docs):
-            if i % FOLDS == f and (q := quantiles(words, part)) is not None:
+            if fold[i] == f and (q := quantiles(words, part)) is not None:
                 rows.append(q)
                 target.append(g)
     if len(rows) < 2 * GRADES:
