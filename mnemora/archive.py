@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,27 @@ class Archive:
     def total(self, text: str) -> int:
         return S.total(self.postings(), self.documents(), text, S.Options(rules=self.rules)).first()[0]
 
+    def answer(self, message: str) -> str | None:
+        """The answer to one query message {"text", "highlight", "fields"} as JSON: total, query, documents and the
+        history of the resolved query. None for a message that is not such an object."""
+        try:
+            q = json.loads(message)
+        except ValueError:
+            return None
+        if not isinstance(q, dict):
+            return None
+        text, fields = str(q.get("text") or ""), tuple(q.get("fields") or S.DEFAULT_FIELDS)
+        resolved = self.rules.resolve(text)
+        docs = self.search(text, fields, q.get("highlight") == "HTML").orderBy("rank").collect()
+        return json.dumps(
+            {
+                "total": self.total(text),
+                "query": {"text": resolved, "highlight": q.get("highlight") or "", "fields": list(fields)},
+                "documents": [{"url": r.url, "html": "", "title": r.title, "text": r.text, "favicon": r.favicon, "score": r.score} for r in docs],
+                "history": [{"url": r.url, "title": r.title, "count": r["count"]} for r in self.history_for(text).collect()],
+            }
+        )
+
     def record_clicks(self, clicks: DataFrame) -> None:
         """Adds (url, title, query) events; queries are kept with their aliases resolved."""
         rows = clicks.where("url is not null and query is not null").withColumn("query", self.rules.resolve_column(F.col("query")))

@@ -20,8 +20,7 @@ def tokens(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Tokens without stop words."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(tokens(c), lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens(c), lambda t: ~t.isin(STOP_WORDS))
 
 
 def single(c: Column) -> Column:
@@ -49,3 +48,9 @@ def format_time(c: Column) -> Column:
 
 def fallback(c: Column, value: str) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(value))
+
+
+#: Analyzers by name, and the fields of a document with how each is kept: (analyzer or None, stored, in any-field
+#: searches). Further analyzers can be registered here.
+ANALYZERS = {"words": terms, "single": single}
+FIELD_SPECS = {"url": ("single", True, True), "title": ("words", True, True), "text": ("words", True, True), "favicon": (None, True, False), "html": (None, True, False)}

@@ -38,9 +38,12 @@ def accepted(docs: DataFrame, rules: Rules, base_url: str) -> DataFrame:
 
 
 def latest(docs: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The last version of each key. Aggregation keeps one row per key before the shuffle."""
-    rest = F.struct(*order, F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
-    return docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(rest).alias("__last")).select("__last.__row.*")
+    """The last version of each key. Aggregation keeps one row per key before the shuffle; the result stays
+    partitioned by the key, so that what groups by it later needs no shuffle."""
+    others = [F.col(c) for c in docs.columns if c != key]
+    rest = F.struct(*order, F.struct(*others).alias("__row"))
+    last = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(rest).alias("__last"))
+    return last.select(*[F.col(c) if c == key else F.col(f"__last.__row.{c}") for c in docs.columns])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:

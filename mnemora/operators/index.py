@@ -16,11 +16,10 @@ from mnemora.functions import text as X
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Postings of url (one lower-case token), title and text (words without stop words). One pass, and one shuffle
-    only for nothing: a document's postings are made where the document is."""
-    stop = F.array(*map(F.lit, X.STOP_WORDS))
+    """Postings of url (one lower-case token), title and text (words without stop words). A filter on field or term
+    that follows is applied to the single words, before the aggregation and its shuffle."""
     sides = docs.select("url", X.tokens(F.col("title")).alias("t"), X.tokens(F.col("text")).alias("x"))
-    kept = lambda c: F.size(F.filter(F.col(c), lambda w: ~F.array_contains(stop, w)))
+    kept = lambda c: F.size(F.filter(F.col(c), lambda w: ~w.isin(X.STOP_WORDS)))
     sides = sides.withColumns({"nt": kept("t"), "nx": kept("x")})
     each = sides.select(
         "url",

@@ -47,7 +47,7 @@ def _literal_urls(s: SparkSession) -> DataFrame:
 def _search(text: str, **o):
     def run(s: SparkSession, d: str) -> DataFrame:
         x = docs(s, d)
-        return S.matched(I.postings(x), x, S.compile_query(text, S.Options(**o)), S.Options(**o)).select("url")
+        return S.matched(I.postings(x), x, S.compile_query(text, S.Options(**o)), scores=False).select("url")
 
     return run
 
@@ -69,7 +69,7 @@ def _batch(s: SparkSession, d: str) -> DataFrame:
 
 def _score_range(s: SparkSession, d: str) -> DataFrame:
     x = docs(s, d).withColumn("score", (F.length("url") % 7).cast("double"))
-    return S.matched(I.postings(x), x, S.compile_query("+garden score:>3", S.Options()), S.Options()).select("url")
+    return S.matched(I.postings(x), x, S.compile_query("+garden score:>3", S.Options()), scores=False).select("url")
 
 
 def _highlight(s: SparkSession, d: str) -> DataFrame:

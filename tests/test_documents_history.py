@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,5 +148,8 @@ def test_archive(spark, tmp_path):
     a.record_clicks(spark.createDataFrame([("http://x.example/a", "t1", "f"), ("http://x.example/a", "t2", "f")], "url string, title string, query string"))
     r = a.history_for("f").first()
     assert (r.url, r["count"]) == ("http://x.example/a", 2) and a.history_for("fox").count() == 1
+    told = json.loads(a.answer('{"text": "f", "highlight": "HTML"}'))
+    assert told["total"] == 1 and told["query"]["text"] == "fox" and told["documents"][0]["title"] == "Red <mark>fox</mark>" and told["history"][0]["count"] == 2
+    assert a.answer("null") is None and a.answer("{") is None and json.loads(a.answer("{}"))["documents"] == []
     a.delete_alias("f")
     assert Archive(spark, str(tmp_path / "archive")).rules == a.rules
