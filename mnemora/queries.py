@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora import rules as R
-from mnemora import schemas
+from mnemora import streaming as ST
 from mnemora.functions import html as H
 from mnemora.functions import text as X
 from mnemora.functions import urls as U
@@ -17,6 +15,7 @@ from mnemora.operators import history as HI
 from mnemora.operators import index as I
 from mnemora.operators import search as S
 from mnemora.plans import query as Q
+from mnemora.runtime import shared_folder
 from mnemora.runtime import table as t
 
 RULES = R.Rules(skip=(r"^https?://docs\.", r"[?&]sort=old"), priority=(r"blog\.example", r"/q/\d+"), aliases={"go": "(go|golang)", "!so": "url:*stackoverflow.com*", "a": "b", "b": "c"})
@@ -126,31 +125,29 @@ def _rules_json(s: SparkSession, d: str) -> DataFrame:
     return r.select("id", F.array_join("r.skip", " ").alias("skip"), F.array_join("r.priority", " ").alias("priority"), F.size("r.aliases").cast("long").alias("n_aliases"))
 
 
-def _stream_clicks(s: SparkSession, d: str) -> DataFrame:
-    from mnemora import streaming as ST
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.readStream.schema(t(s, d, name).schema).parquet(f"{d}/{name}.parquet*")
+
 
-    tmp = tempfile.mkdtemp(prefix="mnemora-stream-") if not (c := s.conf.get("spark.checkpoint.dir", None)) else f"{c.removeprefix('file://')}/stream-{id(object())}"
-    source = s.readStream.schema(t(s, d, "clicks").schema).parquet(f"{d}/clicks.parquet*")
-    source = source.withColumn("received_at", F.col("received_at").cast("timestamp"))
+def _stream_clicks(s: SparkSession, d: str) -> DataFrame:
+    tmp = shared_folder(s)
+    source = _stream(s, d, "clicks").withColumn("received_at", F.col("received_at").cast("timestamp"))
     ST.click_counts(source, f"{tmp}/checkpoint", f"{tmp}/out", late="3650 days").awaitTermination()
     return ST.latest_counts(s, f"{tmp}/out")
 
 
-_NORM = {
-    "total_garden": lambda s, d: (lambda x: S.total(I.postings(x), x, "garden"))(docs(s, d)),
-    "batch_queries": _batch,
-    "score_range": _score_range,
-    "highlight": _highlight,
-    "history_top20": _history_top20,
-    "history_stored_top20": _stored_top20,
-    "history_links_nested": _nested,
-    "incremental_merge": _incremental,
-    "search_with_history": _with_history,
-    "change_capture": _changes(False),
-    "change_capture_forced": _changes(True),
-    "rules_json": _rules_json,
-    "stream_click_counts": _stream_clicks,
-}
+def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    tmp = shared_folder(s)
+    ST.ingest(_stream(s, d, "captures"), f"{tmp}/out", f"{tmp}/checkpoint", RULES, BASE).awaitTermination()
+    return ST.current(s, f"{tmp}/out").select("url", "page_id", "title", "favicon")
+
+
+def _stream_changes(s: SparkSession, d: str) -> DataFrame:
+    tmp = shared_folder(s)
+    v = _stream(s, d, "captures").select(U.strip_fragment(F.col("url")).alias("key"), F.col("captured_at").cast("timestamp").alias("at"), F.xxhash64("html").alias("content"))
+    ST.run_to_folder(ST.changes(v.where("key is not null")), f"{tmp}/checkpoint", f"{tmp}/out").awaitTermination()
+    return s.read.parquet(f"{tmp}/out").select(F.col("key").alias("url"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
 
 QUERIES_BY_KEY = {
     "scan_urls": lambda s, d: docs(s, d).select("url"),
@@ -200,7 +197,21 @@ QUERIES_BY_KEY = {
     "search_engine_url": lambda s, d: t(s, d, "histories").select("id", U.search_engine("https://s.example/?q={query}", F.col("query")).alias("url")),
     "service_urls": lambda s, d: _literal_urls(s).select("url", U.base_url(F.col("url"), F.lit("127.0.0.1:4433")).alias("base"), U.websocket(F.col("url")).alias("socket"), U.join_base(F.col("url"), F.lit("/add")).alias("add")),
     "result_json": lambda s, d: s.createDataFrame([(2, [("https://a.example", "A", 3)])], "total long, history array<struct<url:string,title:string,count:long>>").select(F.to_json(F.struct("total", "history")).alias("body")),
-    **_NORM,
+    "total_garden": lambda s, d: (lambda x: S.total(I.postings(x), x, "garden"))(docs(s, d)),
+    "batch_queries": _batch,
+    "score_range": _score_range,
+    "highlight": _highlight,
+    "history_top20": _history_top20,
+    "history_stored_top20": _stored_top20,
+    "history_links_nested": _nested,
+    "incremental_merge": _incremental,
+    "search_with_history": _with_history,
+    "change_capture": _changes(False),
+    "change_capture_forced": _changes(True),
+    "rules_json": _rules_json,
+    "stream_click_counts": _stream_clicks,
+    "stream_ingest": _stream_ingest,
+    "stream_change_capture": _stream_changes,
 }
 
 
@@ -319,6 +330,14 @@ SQL_BY_KEY = {
     "rules_json": "SELECT * FROM " + _values([(1, " ".join(RULES.skip), " ".join(RULES.priority), 4), (2, "", "", 0), (3, "", "", 0)], "id, skip, priority, n_aliases"),
     "result_json": "SELECT '{\"total\":2,\"history\":[{\"url\":\"https://a.example\",\"title\":\"A\",\"count\":3}]}' AS body",
 }
-_V = "v AS (SELECT page_id, u AS url, html, lag(html) OVER w b, row_number() OVER w rn FROM (SELECT DISTINCT page_id, regexp_replace(url, '#.+$', '') u, html, captured_at FROM captures) WINDOW w AS (PARTITION BY u ORDER BY captured_at, page_id))"
-for _k in ("change_capture", "change_capture_forced"):
+_V = "v AS (SELECT page_id, u AS url, html, captured_at, lag(html) OVER w b, row_number() OVER w rn FROM (SELECT DISTINCT page_id, regexp_replace(url, '#.+$', '') u, html, captured_at FROM captures) WINDOW w AS (PARTITION BY u ORDER BY captured_at, page_id))"
+_FAV = f"""regexp_extract(regexp_extract(coalesce(html, ''), '{H.ICON.replace("'", "''")}', 0), '{H.HREF.replace("'", "''")}', 1)"""
+_ORIGIN = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
+_DIR = f"{_ORIGIN} || regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[^:/?#]+://[^/]*(/.*)?$', 1), '[^/]*$', '')"
+_ICON = f"CASE WHEN h = '' THEN {_ORIGIN} || '/favicon.ico' WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([^:]+:)', 1) || h WHEN starts_with(h, '/') THEN {_ORIGIN} || h ELSE regexp_replace({_DIR}, '/$', '') || '/' || h END"
+SQL_BY_KEY["favicon_url"] = f"WITH {_PAGES}, x AS (SELECT page_id, url, {_FAV} h FROM pages WHERE url IS NOT NULL) SELECT page_id, {_ICON} AS favicon_url FROM x"
+_TITLE = _entities(f"regexp_extract(coalesce(html, ''), '{H.TITLE}', 1)")
+SQL_BY_KEY["stream_ingest"] = f"WITH {_PAGES.replace('favicon FROM', 'favicon, captured_at FROM')}, x AS (SELECT page_id, regexp_replace(url, '#.+$', '') url, title, html, favicon, captured_at FROM pages), y AS (SELECT *, {_FAV} h, row_number() OVER (PARTITION BY url ORDER BY captured_at DESC, page_id DESC) rn FROM x WHERE regexp_matches(url, '{U.VALID}') AND NOT regexp_matches(url, '{_skip}') AND NOT starts_with(url, '{BASE}/')) SELECT url, page_id, CASE WHEN coalesce(title, '') = '' THEN trim({_TITLE}) ELSE title END AS title, CASE WHEN coalesce(favicon, '') = '' THEN {_ICON} ELSE favicon END AS favicon FROM y WHERE rn = 1"
+SQL_BY_KEY["stream_change_capture"] = "WITH {v} SELECT url, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS at FROM v WHERE url IS NOT NULL AND (rn = 1 OR html IS DISTINCT FROM b)"
+for _k in ("change_capture", "change_capture_forced", "stream_change_capture"):
     SQL_BY_KEY[_k] = SQL_BY_KEY[_k].replace("{v}", _V)

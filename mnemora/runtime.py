@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mnemora-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder, so that later steps survive lost executors
     without running the earlier ones again. Spark's cleaner removes the files with the last reference."""
@@ -45,8 +52,3 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def partitions_for(df: DataFrame, rows_per_partition: int) -> int:
-    """Number of shuffle partitions for counted rows; never below the session's setting."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-df.count() // rows_per_partition))

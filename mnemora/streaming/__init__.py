@@ -39,10 +39,7 @@ def click_counts(clicks: DataFrame, checkpoint: str, out: str, late: str = "30 d
     once = clicks.where("url is not null and query is not null").withWatermark("received_at", late).dropDuplicatesWithinWatermark(["click_id"])
     counts = once.groupBy("query", "url").agg(F.count(F.lit(1)).alias("count"))
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_to_folder(counts, checkpoint, out, "update")
 
 
 def latest_counts(spark: SparkSession, out: str) -> DataFrame:
@@ -69,9 +66,10 @@ def changes(versions: DataFrame) -> DataFrame:
     return versions.groupBy("key").applyInPandasWithState(_changed, _CHANGE, _STATE, "append", "NoTimeout")
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs what is available and returns what came out, in memory; for tests and small tools."""
-    df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_folder(df: DataFrame, checkpoint: str, out: str, mode: str = "append") -> StreamingQuery:
+    """Runs what is available; each batch has its own folder and replaces it if it is run again."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,7 +37,8 @@ def test_stream_changes_equal_batch(spark, tmp_path):
     rows = [(f"k{i % 2}", T0 + dt.timedelta(minutes=i), i // 4) for i in range(16)]
     spark.createDataFrame(rows, "key string, at timestamp, content long").coalesce(1).write.json(str(tmp_path / "in"))
     schema = spark.createDataFrame([], "key string, at timestamp, content long").schema
-    out = ST.run_to_table(ST.changes(ST.read(spark, str(tmp_path / "in"), schema)), "changes_out", str(tmp_path / "c"))
+    ST.run_to_folder(ST.changes(ST.read(spark, str(tmp_path / "in"), schema)), str(tmp_path / "c"), str(tmp_path / "out")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
     batch = D.changed(spark.createDataFrame(rows, "key string, at timestamp, content long"), "key", "content", "at")
     assert {tuple(r) for r in out.select("key", "at", "content").collect()} == {tuple(r) for r in batch.select("key", "at", "content").collect()}
     assert batch.agg(F.count("*")).first()[0] == 8
