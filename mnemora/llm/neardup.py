@@ -37,8 +37,9 @@ from mnemora.runtime import cut, lookup_join
 MEET = 4
 #: Words of a block; bounds the memory of a task.
 BLOCK_WORDS = 2_500_000
-#: Documents per fragment aimed at, and documents of one run per cell of its grid.
-FRAGMENT_DOCS, CELL_DOCS = 10_000, 4096
+#: Documents per fragment aimed at, the most fragments (beyond them fragments grow), and documents of one run per
+#: cell of its grid.
+FRAGMENT_DOCS, MOST_FRAGMENTS, CELL_DOCS = 10_000, 50_000, 4096
 #: Pairs made at once in ``_join``.
 PAIRS_AT_ONCE = 4_000_000
 #: Classes of exact copies up to this size are written out as pairs; larger ones as (representative, copy).
@@ -353,7 +354,7 @@ def similar(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(1, 2
     Documents with fewer than ``min_words`` words, a null text or a null doc_id take no part. doc_id is taken to
     be unique. Further columns are ignored; an empty table gives empty results."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FRAGMENT_DOCS))
+    fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FRAGMENTS, -(-docs.count() // FRAGMENT_DOCS)))
     encoded = rows.mapInArrow(_encode(width, min_words, fragments), _ROW)
     counted = encoded.repartition(fragments, "dest").sortWithinPartitions("dest", "kind").mapInArrow(_count, _ROW)
     prefixes = counted.repartition(fragments, "block").sortWithinPartitions("block").mapInArrow(_prefixes(threshold, fragments), _ROW)

@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from mnemora.llm import bpe, dedupe, mainbody, mixing, neardup, packing, readlevel, residue, sitelines, topn
 from mnemora.runtime import cut
