@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands the package to the executors, once per application, where PYTHONPATH doesn't already name it. Spark's
+    own file server distributes the archive; executors need no copy of it beforehand."""
+    root, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="mnemora-")) / "mnemora-package"), "zip", root, "mnemora")
+    spark.sparkContext.addPyFile(archive)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder, so that later steps survive lost executors
     without running the earlier ones again. Spark's cleaner removes the files with the last reference."""

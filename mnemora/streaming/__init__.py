@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mnemora.operators import documents as D
 from mnemora.rules import Rules
+from mnemora.runtime import ship
 
 
 def read(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "json", per_trigger: int = 64) -> DataFrame:
@@ -63,6 +64,7 @@ def _changed(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.D
 def changes(versions: DataFrame) -> DataFrame:
     """Versions (key, at, content hash) that differ from the one before of their key. The state is one number per key;
     a batch's rows of one key are held together, which bounds a batch by files per trigger."""
+    ship(versions.sparkSession)
     return versions.groupBy("key").applyInPandasWithState(_changed, _CHANGE, _STATE, "append", "NoTimeout")
 
 
