@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from mnemora.runtime import map_arrow
+
 #: Where vocabularies lie; only the driver reads them.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -152,7 +154,7 @@ def ids(docs: DataFrame, directory: str = TOKENIZERS, vocabulary: str = VOCABULA
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def sizes(docs: DataFrame, keep: list[str], directory: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -168,4 +170,4 @@ def sizes(docs: DataFrame, keep: list[str], directory: str = TOKENIZERS, vocabul
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType())])
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, "text"), run, schema)

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.runtime import map_arrow
+
 #: Rows of one range partition aimed at.
 ROWS_PER_PARTITION = 1_000_000
 #: Prefixes of search terms that are free to move inside a query (fixed values).
@@ -108,8 +110,8 @@ def classes(records: DataFrame, n_partitions: int) -> DataFrame:
     summaries (two rows per partition, whatever the data) and once for the rows themselves."""
     parts = records.select("table_name", "id", "key").repartitionByRange(n_partitions, "key", "id")
     ordered = parts.sortWithinPartitions("key", "id")
-    heads = ordered.mapInArrow(_ends, "key string, head long").groupBy("key").agg(F.min("head").alias("head"))
-    rows = ordered.mapInArrow(_runs, _SCAN)
+    heads = map_arrow(ordered, _ends, "key string, head long").groupBy("key").agg(F.min("head").alias("head"))
+    rows = map_arrow(ordered, _runs, _SCAN)
     mended = rows.join(F.broadcast(heads), "key", "left")  # at most 2 * n_partitions rows
     return mended.select("table_name", F.coalesce("head", "keep_id").alias("keep_id"), "copy_id")
 

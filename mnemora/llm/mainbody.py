@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from mnemora.runtime import map_arrow
+
 #: Bound on the labelled pages the field is fitted on, and on the length of one of them in lines.
 TRAIN_PAGES, TRAIN_LINES = 1200, 400
 #: Size of the hashed feature space, passes and strength of regularisation.
@@ -345,4 +347,4 @@ def found(captures: DataFrame, pages: int = TRAIN_PAGES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], ["page_id", "line_no"])
 
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), "title", "url", "text", "html").where("page_id is not null and text is not null")
-    return rows.mapInArrow(run, "page_id long, line_no int").distinct()
+    return map_arrow(rows, run, "page_id long, line_no int").distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from mnemora.llm import bpe
-from mnemora.runtime import cut
+from mnemora.runtime import cut, map_arrow
 
 #: Nodes that are combined in one step of the tree.
 FANOUT = 32
@@ -125,13 +125,13 @@ def mix(docs: DataFrame, targets: DataFrame, directory: str = bpe.TOKENIZERS, vo
     rows = base.join(F.broadcast(rate), "collection")
     tree = rows.select("doc_id", "collection", "n_tokens", F.lit(None).cast("int").alias("extra"), "p", F.lit(0).cast("long").alias("node"))
     nodes = max(1, tree.rdd.getNumPartitions())
-    level = cut(tree.mapInArrow(_reduce(nodes == 1), _ROW))
+    level = cut(map_arrow(tree, _reduce(nodes == 1), _ROW))
     done = [level.where("extra is not null")]
     while nodes > 1:
         nodes = -(-nodes // FANOUT)
         up = level.where("extra is null").withColumn("to", F.floor(F.col("node") / FANOUT))
         up = up.repartitionByRange(nodes, "to").sortWithinPartitions("collection", "doc_id").drop("to")
-        level = cut(up.mapInArrow(_reduce(nodes == 1), _ROW))
+        level = cut(map_arrow(up, _reduce(nodes == 1), _ROW))
         done.append(level.where("extra is not null"))
     extra = done[0]
     for d in done[1:]:

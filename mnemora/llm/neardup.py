@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from mnemora.llm.packing import pack, unpack
-from mnemora.runtime import cut, lookup_join
+from mnemora.runtime import cut, lookup_join, map_arrow
 
 #: Common runs that a pair must show in the rare part of both documents.
 MEET = 4
@@ -355,15 +355,15 @@ def similar(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(1, 2
     be unique. Further columns are ignored; an empty table gives empty results."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FRAGMENTS, -(-docs.count() // FRAGMENT_DOCS)))
-    encoded = rows.mapInArrow(_encode(width, min_words, fragments), _ROW)
-    counted = encoded.repartition(fragments, "dest").sortWithinPartitions("dest", "kind").mapInArrow(_count, _ROW)
-    prefixes = counted.repartition(fragments, "block").sortWithinPartitions("block").mapInArrow(_prefixes(threshold, fragments), _ROW)
-    joined = prefixes.repartition(fragments, "dest").sortWithinPartitions("dest").mapInArrow(_join(threshold, fragments), _ROW)
-    summed = cut(joined.repartition(fragments, "dest").sortWithinPartitions("dest").mapInArrow(_sum, "kind int, a long, b long"))
+    encoded = map_arrow(rows, _encode(width, min_words, fragments), _ROW)
+    counted = map_arrow(encoded.repartition(fragments, "dest").sortWithinPartitions("dest", "kind"), _count, _ROW)
+    prefixes = map_arrow(counted.repartition(fragments, "block").sortWithinPartitions("block"), _prefixes(threshold, fragments), _ROW)
+    joined = map_arrow(prefixes.repartition(fragments, "dest").sortWithinPartitions("dest"), _join(threshold, fragments), _ROW)
+    summed = cut(map_arrow(joined.repartition(fragments, "dest").sortWithinPartitions("dest"), _sum, "kind int, a long, b long"))
     candidates = summed.where("kind = 1").select("a", "b")
     members = summed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("rep"))
     needed = cut(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = lookup_join(rows, needed, ["doc_id"]).mapInArrow(_sets(width), "doc_id long, runs array<long>")
+    sets = map_arrow(lookup_join(rows, needed, ["doc_id"]), _sets(width), "doc_id long, runs array<long>")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("y"))
     both = candidates.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from mnemora.llm import residue, sitelines
-from mnemora.runtime import cut
+from mnemora.runtime import cut, map_arrow
 
 #: Bound on the graded documents the model is fitted on.
 GRADED_DOCS = 2000
@@ -170,7 +170,7 @@ def levels(docs: DataFrame, labels: DataFrame, limit: int = GRADED_DOCS) -> Data
                 level.append(m.predict(words) if en[-1] else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(en, pa.bool_()), pa.array(level, pa.float64())], ["doc_id", "n_words", "english", "level"])
 
-    return rows.select("doc_id", "source", "text", "gone").mapInArrow(run, "doc_id long, n_words int, english boolean, level double")
+    return map_arrow(rows.select("doc_id", "source", "text", "gone"), run, "doc_id long, n_words int, english boolean, level double")
 
 
 def found(docs: DataFrame, labels: DataFrame, limit: int = GRADED_DOCS) -> DataFrame:

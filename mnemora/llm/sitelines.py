@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from mnemora.runtime import cut, lookup_join
+from mnemora.runtime import cut, lookup_join, map_arrow
 
 #: A line is repeated from this number of different documents of its source on.
 MIN_DOCS = 5
@@ -68,7 +68,7 @@ def lines(docs: DataFrame) -> DataFrame:
     k2 stand for (source, line), ``cluster`` for all lines of the document in their order, ``first`` marks a line's first place in its document."""
     day = F.unix_date(F.to_date("captured_at")) if "captured_at" in docs.columns else F.lit(None).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", day.alias("day"))
-    return rows.where("text is not null and source is not null and doc_id is not null").mapInArrow(_hash_lines, _LINES)
+    return map_arrow(rows.where("text is not null and source is not null and doc_id is not null"), _hash_lines, _LINES)
 
 
 def counted(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemora.runtime import map_arrow
+
 
 def _first_rows(n: int):
     """Streams batches sorted by (group, score desc, item); passes the first n different rows of each group.
@@ -53,6 +55,6 @@ def top_n(df: DataFrame, group: str, score: str, item: str, n: int = 5) -> DataF
     rows = df.select(*cols).where("g is not null and s is not null and i is not null")
     order = [F.col("g"), F.col("s").desc(), F.col("i")]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in "gsi"])
-    local = rows.sortWithinPartitions(*order).mapInArrow(_first_rows(n), schema)
-    merged = local.repartition("g").sortWithinPartitions(*order).mapInArrow(_first_rows(n), schema)
+    local = map_arrow(rows.sortWithinPartitions(*order), _first_rows(n), schema)
+    merged = map_arrow(local.repartition("g").sortWithinPartitions(*order), _first_rows(n), schema)
     return merged.select(F.col("g").alias(group), F.col("s").alias(score), F.col("i").alias(item))
