@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,10 @@ from mnemora.operators import history as H
 from mnemora.operators import index as I
 from mnemora.operators import search as S
 from mnemora.rules import Rules
+from mnemora.runtime import ship
+
+#: Steps that bring a stored archive to the present layout, in order; each takes the folder. Empty so far.
+MIGRATIONS: list[Callable[[str], None]] = []
 
 _CLICKS = "query string, url string, title string, ts timestamp, click_id string"
 
@@ -25,6 +31,7 @@ class Archive:
     def __init__(self, spark: SparkSession, folder: str, config: sources.Config | None = None):
         self.spark, self.folder, self.config = spark, folder, config or sources.Config().checked()
         Path(folder).mkdir(parents=True, exist_ok=True)
+        migrate(folder)
         self.rules = Rules.load(f"{folder}/rules.json")
 
     def _table(self, name: str, schema) -> DataFrame:
@@ -44,6 +51,20 @@ class Archive:
         docs.unpersist()
         return n
 
+    def compact(self) -> None:
+        """Keeps the last version of every document only: writes a new table, then puts it in the old one's place."""
+        rows = self._table("documents", "url string, title string, text string, html string, favicon string, added timestamp")
+        old, new = Path(self.folder, "documents"), Path(self.folder, "documents.new")
+        D.latest(rows, "url", F.col("added")).write.mode("overwrite").parquet(str(new))
+        if old.exists():
+            shutil.rmtree(old)
+        new.rename(old)
+
+    def for_each(self, act: Callable) -> None:
+        """Calls ``act`` with every document, on the executors."""
+        ship(self.spark)
+        self.documents().foreach(act)
+
     def refresh(self) -> None:
         """Rebuilds the sorted postings."""
         I.write(I.postings(self.documents()), f"{self.folder}/postings")
@@ -107,6 +128,17 @@ class Archive:
         self.rules = rules
 
 
+def migrate(folder: str) -> int:
+    """Runs the steps that are not yet recorded and records each once it is done; returns the version."""
+    file = Path(folder, "version")
+    done = int(file.read_text()) if file.exists() else 0
+    for number, step in enumerate(MIGRATIONS[done:], done + 1):
+        step(folder)
+        file.write_text(str(number))
+        done = number
+    return done
+
+
 def main() -> None:
     p = argparse.ArgumentParser()
     p.add_argument("command", choices=["list-urls", "search", "create-config", "refresh"])

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,9 @@ def test_archive(spark, tmp_path):
     page = [("http://x.example/a#f", "Red fox", "a fox runs"), ("http://x.example/secret", "no", "fox"), ("http://127.0.0.1:4433/", "own", "fox"), ("bad", "b", "fox")]
     assert a.add(spark.createDataFrame(page, "url string, title string, text string")) == 1
     assert a.add(spark.createDataFrame([("http://x.example/a", "Red fox", "a fox sleeps")], "url string, title string, text string")) == 1
+    assert Path(tmp_path / "archive" / "documents").exists()
+    a.compact()
+    assert spark.read.parquet(str(tmp_path / "archive" / "documents")).count() == 1
     a.refresh()
     assert [r.url for r in a.list_urls().collect()] == ["http://x.example/a"]
     assert a.search("fox sleeps").first().text == "a <mark>fox</mark> <mark>sleeps</mark>"
@@ -153,3 +157,13 @@ def test_archive(spark, tmp_path):
     assert a.answer("null") is None and a.answer("{") is None and json.loads(a.answer("{}"))["documents"] == []
     a.delete_alias("f")
     assert Archive(spark, str(tmp_path / "archive")).rules == a.rules
+
+
+def test_migrations_run_once(tmp_path, monkeypatch):
+    from mnemora import archive
+
+    seen = []
+    monkeypatch.setattr(archive, "MIGRATIONS", [lambda f: seen.append(1), lambda f: seen.append(2)])
+    assert archive.migrate(str(tmp_path)) == 2 == archive.migrate(str(tmp_path))
+    archive.MIGRATIONS.append(lambda f: seen.append(3))
+    assert archive.migrate(str(tmp_path)) == 3 and seen == [1, 2, 3]
