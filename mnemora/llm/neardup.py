@@ -94,6 +94,17 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int,
         yield k, list(g)
 
 
+def _spread(block: int) -> int:
+    """Numbers blocks so that those of one task and of neighbouring tasks fall into different partitions."""
+    return (block >> 32) + (block & 0xFFFFFFFF)
+
+
+def _placed(df: DataFrame, n: int, by: str) -> DataFrame:
+    """Rows in the partition of their fragment or block, without collisions, sorted by it."""
+    place = F.col("dest") if by == "dest" else F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF)
+    return df.repartitionById(n, F.pmod(place, F.lit(n)).cast("int")).sortWithinPartitions(by)
+
+
 def _encode(width: int, min_words: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -139,7 +150,7 @@ def _encode(width: int, min_words: int, fragments: int):
         doc, loc = keys // size, keys % size
         df = np.bincount(loc, minlength=len(words_)).astype(np.uint32)
         digest = np.frombuffer(b"".join(digests[j] for j in kept), np.int64).reshape(-1, 2)
-        rows = [(fragments + number, _DOCS, number, 0, pack(ids[kept]), pack(np.bincount(doc, minlength=len(kept)).astype(np.uint32)), pack(keys.astype(np.int64), True), pack(np.stack([ids[copy], place[rep[copy]]], 1).reshape(-1)))]
+        rows = [(_spread(number) % fragments, _DOCS, number, 0, pack(ids[kept]), pack(np.bincount(doc, minlength=len(kept)).astype(np.uint32)), pack(keys.astype(np.int64), True), pack(np.stack([ids[copy], place[rep[copy]]], 1).reshape(-1)))]
         edge = np.searchsorted(words_, (np.arange(fragments + 1, dtype=np.float64) * (2**48 / fragments)).astype(np.int64))
         edge[-1] = len(words_)
         for f in range(fragments):
@@ -180,7 +191,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rep = rep[~new]
             for n in np.unique(block[moved]).tolist():
                 own = block[moved] == n
-                out.append((0, _REPS, n, 0, pack(at[moved][own]), pack(rep[own]), None, None))
+                out.append((_spread(n), _REPS, n, 0, pack(at[moved][own]), pack(rep[own]), None, None))
         if out:
             yield _batch(out)
 
@@ -199,7 +210,7 @@ def _prefixes(threshold: Fraction, fragments: int):
             gone = rep != ids
             members = np.concatenate([np.stack([ids[gone], rep[gone]], 1), np.stack([copies[:, 0], rep[copies[:, 1]]], 1)])
             if len(members):
-                out.append((number % fragments, _MEMBERS, number, 0, pack(members[:, 0]), pack(members[:, 1]), None, None))
+                out.append((_spread(number) % fragments, _MEMBERS, number, 0, pack(members[:, 0]), pack(members[:, 1]), None, None))
             parts = sorted((r for r in rows if r["kind"] == _DF), key=lambda r: r["at"])
             if parts:
                 df, number_ = np.concatenate([unpack(r["a"]) for r in parts]), np.concatenate([unpack(r["b"]) for r in parts])
@@ -356,10 +367,10 @@ def similar(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(1, 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FRAGMENTS, -(-docs.count() // FRAGMENT_DOCS)))
     encoded = map_arrow(rows, _encode(width, min_words, fragments), _ROW)
-    counted = map_arrow(encoded.repartition(fragments, "dest").sortWithinPartitions("dest", "kind"), _count, _ROW)
-    prefixes = map_arrow(counted.repartition(fragments, "block").sortWithinPartitions("block"), _prefixes(threshold, fragments), _ROW)
-    joined = map_arrow(prefixes.repartition(fragments, "dest").sortWithinPartitions("dest"), _join(threshold, fragments), _ROW)
-    summed = cut(map_arrow(joined.repartition(fragments, "dest").sortWithinPartitions("dest"), _sum, "kind int, a long, b long"))
+    counted = map_arrow(_placed(encoded, fragments, "dest"), _count, _ROW)
+    prefixes = map_arrow(_placed(counted, fragments, "block"), _prefixes(threshold, fragments), _ROW)
+    joined = map_arrow(_placed(prefixes, fragments, "dest"), _join(threshold, fragments), _ROW)
+    summed = cut(map_arrow(_placed(joined, fragments, "dest"), _sum, "kind int, a long, b long"))
     candidates = summed.where("kind = 1").select("a", "b")
     members = summed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("rep"))
     needed = cut(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
