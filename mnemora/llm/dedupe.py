@@ -8,14 +8,14 @@ over a partition border is mended from one summary row per partition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.runtime import map_arrow
+from mnemora.runtime import cut, map_arrow
 
 #: Rows of one range partition aimed at.
 ROWS_PER_PARTITION = 1_000_000
@@ -63,57 +63,67 @@ def canonical(links: DataFrame, histories: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-_SCAN = "table_name string, keep_id long, copy_id long, key string"
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scans one sorted partition. Emits, per record, the first id of its run; the key only in the first run,
-    which may go on from the partition before."""
-    key = head = last = None
-    first_run = True
-    for b in batches:
-        out: list[tuple] = []
-        for i, k, n in zip(b.column("id").to_pylist(), b.column("key").to_pylist(), b.column("table_name").to_pylist()):
-            if k != key:
-                first_run = key is None
-                key, head = k, i
-            elif i == last:  # the same id again is one record
-                continue
-            out.append((n, head, i, k if first_run else None))
-            last = i
-        if out:
-            n, h, c, k = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.string())], ["table_name", "keep_id", "copy_id", "key"])
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One or two rows of a sorted partition: key and smallest id of its first and of its last run."""
-    first = last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.column("key")
-        first = first or (keys[0].as_py(), b.column("id")[0].as_py())
-        k = keys[b.num_rows - 1].as_py()
-        if last is None or last[0] != k:
-            last = (k, b.column("id")[pc.index(keys, pa.scalar(k, keys.type)).as_py()].as_py())
-    if first:
-        rows = [first] if first[0] == last[0] else [first, last]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["key", "head"])
-
-
-def classes(records: DataFrame, n_partitions: int) -> DataFrame:
-    """(table_name, keep_id, copy_id) for every record, the representative's own row included (copy_id =
-    keep_id). ``records`` has table_name, id, key. Rows with the same id and key count once.
-
-    The range shuffle has a fixed number of partitions and is used twice by the plan, once for the border
-    summaries (two rows per partition, whatever the data) and once for the rows themselves."""
+_SCAN = "table_name string, keep_id long, copy_id long, n long, border binary"
+
+
+def _scan(per_copy: bool):
+    """Scans one sorted partition, comparing full keys of neighbours. Emits a row per copy (the first id of its run
+    as keep_id), or else per run with its number of records. ``border`` is a digest of the key in the first run,
+    which may go on from the partition before; rows without a table name tell where first and last run begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = head = last = name = begin = mark = None
+        n = 0
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["table_name", "keep_id", "copy_id", "n", "border"])
+
+        for b in batches:
+            out: list[tuple] = []
+            for i, k, t in zip(b.column("id").to_pylist(), b.column("key").to_pylist(), b.column("table_name").to_pylist()):
+                if k != key:
+                    if key is not None and not per_copy:
+                        out.append((name, head, None, n, mark))
+                    mark = _digest(k) if key is None else None
+                    key, head, name, n = k, i, t, 1
+                    if mark:
+                        begin = (i, mark)
+                        if per_copy:
+                            out.append((t, i, i, 1, mark))
+                elif i == last:  # the same id again is one record
+                    continue
+                else:
+                    n += 1
+                    if per_copy:
+                        out.append((t, head, i, 1, mark))
+                last = i
+            if out:
+                yield rows(out)
+        if key is not None:
+            out = [] if per_copy else [(name, head, None, n, mark)]
+            ends = {(head, mark or _digest(key)), begin}
+            yield rows(out + [(None, i, None, 0, d) for i, d in sorted(ends)])
+
+    return run
+
+
+def _digest(key: str) -> bytes:
+    return hashlib.sha256(key.encode("utf-8", "replace")).digest()
+
+
+def _runs(records: DataFrame, n_partitions: int, per_copy: bool) -> DataFrame:
+    """Rows of ``_scan`` with keep_id mended over partition borders. The scan is written out once, so that rows and
+    border rows come from one and the same range partitioning; of the latter there are two per partition."""
     parts = records.select("table_name", "id", "key").repartitionByRange(n_partitions, "key", "id")
-    ordered = parts.sortWithinPartitions("key", "id")
-    heads = map_arrow(ordered, _ends, "key string, head long").groupBy("key").agg(F.min("head").alias("head"))
-    rows = map_arrow(ordered, _runs, _SCAN)
-    mended = rows.join(F.broadcast(heads), "key", "left")  # at most 2 * n_partitions rows
-    return mended.select("table_name", F.coalesce("head", "keep_id").alias("keep_id"), "copy_id")
+    scanned = cut(map_arrow(parts.sortWithinPartitions("key", "id"), _scan(per_copy), _SCAN))
+    heads = scanned.where("table_name is null").groupBy("border").agg(F.min("keep_id").alias("head"))
+    mended = scanned.where("table_name is not null").join(F.broadcast(heads), "border", "left")  # at most 2 * n_partitions rows of 40 bytes
+    return mended.select("table_name", F.coalesce("head", "keep_id").alias("keep_id"), "copy_id", "n")
+
+
+def _partitions(links: DataFrame, histories: DataFrame, n: int | None) -> int:
+    least = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return n or max(least, -(-(links.count() + histories.count()) // ROWS_PER_PARTITION))
 
 
 def found(links: DataFrame, histories: DataFrame, n_partitions: int | None = None) -> DataFrame:
@@ -121,13 +131,12 @@ def found(links: DataFrame, histories: DataFrame, n_partitions: int | None = Non
 
     Null urls and queries are no records; an empty one is a record with the empty key. Equal ids with equal
     keys count once. Other columns of the inputs are ignored, whatever their names. Empty tables give no rows."""
-    records = canonical(links, histories)
-    n = n_partitions or max(1, -(-(links.count() + histories.count()) // ROWS_PER_PARTITION), int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return classes(records, n).filter("keep_id <> copy_id")
+    runs = _runs(canonical(links, histories), _partitions(links, histories, n_partitions), True)
+    return runs.where("keep_id <> copy_id").select("table_name", "keep_id", "copy_id")
 
 
 def counts(links: DataFrame, histories: DataFrame, n_partitions: int | None = None) -> DataFrame:
-    """p3_counts: one row per class: its representative and its exact number of copies (itself included)."""
-    records = canonical(links, histories)
-    n = n_partitions or max(1, -(-(links.count() + histories.count()) // ROWS_PER_PARTITION), int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return classes(records, n).groupBy("table_name", "keep_id").agg(F.count(F.lit(1)).alias("n_copies"))
+    """p3_counts: one row per class: its representative and its exact number of copies (itself included). The scan
+    emits one row per run, however many copies it has. See ``found`` for nulls and empty tables."""
+    runs = _runs(canonical(links, histories), _partitions(links, histories, n_partitions), False)
+    return runs.groupBy("table_name", "keep_id").agg(F.sum("n").alias("n_copies"))
