@@ -233,6 +233,19 @@ def test_residue_aligns_templates(spark):
     assert {x.doc_id for x in residue.found(d).collect()} == {i for i, _, _, k in rows if k == "case"}
 
 
+@pytest.mark.parametrize("n", [1, 3, 8, 20])
+def test_residue_takes_notices_at_the_end_at_every_count(spark, n):
+    r = random.Random(5)
+    say = lambda k: ". ".join(" ".join(r.choices(WORDS, k=9)).capitalize() for _ in range(k)) + "."
+    rows = [(i, say(9) + f"\nNotice: Undefined variable {i}x in /var/app/view.php on line {i}\nPrinted by the mill", "case") for i in range(n)]
+    rows += [(100 + i, say(4) + f"\nHe was told that his session expired {i} times\n" + say(9), "plain") for i in range(n)]
+    for i in range(200, 205):  # no list knows it; mostly, but not always, at the end of text
+        rows.append((i, f"Kalu resting near http://s.example/p{i} until hour {i}", "case"))
+    rows += [(i, say(9) + f"\nKalu resting near http://s.example/p{i} until hour {i}", "case") for i in range(205, 217)]
+    d = spark.createDataFrame([(i, x, f"T {i}", "s.example", "http://s.example/x") for i, x, _ in rows], "doc_id long, text string, title string, source string, url string")
+    assert {x.doc_id for x in residue.found(d).collect()} == {i for i, _, k in rows if k == "case"}
+
+
 # main body
 
 
