@@ -246,6 +246,18 @@ def test_residue_takes_notices_at_the_end_at_every_count(spark, n):
     assert {x.doc_id for x in residue.found(d).collect()} == {i for i, _, k in rows if k == "case"}
 
 
+def test_residue_induces_slots_without_delimiters(spark):
+    r = random.Random(7)
+    say = lambda k: ". ".join(" ".join(r.choices(WORDS, k=9)).capitalize() for _ in range(k)) + "."
+    forms = ["Welcome back, {}!", "Dear {}", "Written by {}.", "{} sent you a card"]
+    names = ["Anna", "Bo Lind", "Cato", "Dora", "Emil"]
+    rows = [(i * 10 + k, f.format(x) + "\n" + say(6), "plain") for i, f in enumerate(forms) for k, x in enumerate(names)]
+    rows += [(100, "Welcome back, undefined!\n" + say(6), "case"), (101, "Dear customer_name\n" + say(6), "case"), (102, say(6) + "\nWritten by .", "case"), (103, "null sent you a card\n" + say(6), "case"), (104, "Welcome back, !\n" + say(6), "case")]
+    rows += [(110, "The result is undefined.\n" + say(6), "plain"), (111, "Set max_size to five.\n" + say(6), "plain"), (112, 'Welcome back, "undefined"!\n' + say(6), "plain")]
+    d = spark.createDataFrame([(i, x, f"T {i}", "s.example", "http://s.example/x") for i, x, _ in rows], "doc_id long, text string, title string, source string, url string")
+    assert {x.doc_id for x in residue.found(d).collect()} == {i for i, _, k in rows if k == "case"}
+
+
 # main body
 
 
