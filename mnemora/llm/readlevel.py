@@ -128,7 +128,7 @@ def _content_words(content, source, text, gone) -> tuple[int, list[str]]:
     """Number of words of the whole text, and the words of its content."""
     kept = content(source, text, gone)
     words = _WORD.findall("\n".join(kept).lower())
-    total = len(words) if len(words) >= MIN_WORDS else len(_WORD.findall(text.lower()))
+    total = len(words) if len(kept) == text.count("\n") + 1 else len(_WORD.findall(text.lower()))
     return total, words
 
 

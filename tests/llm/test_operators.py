@@ -258,6 +258,12 @@ def test_residue_induces_slots_without_delimiters(spark):
     assert {x.doc_id for x in residue.found(d).collect()} == {i for i, _, k in rows if k == "case"}
 
 
+def test_number_of_words_counts_site_lines():
+    text = " ".join(f"w{i}" for i in range(50)) + "\nprinted by the mill"
+    total, words = readlevel._content_words(lambda source, text, gone: text.split("\n")[:1], "s", text, None)
+    assert (total, len(words)) == (54, 50)
+
+
 # main body
 
 
