@@ -195,67 +195,83 @@ SLOTS = ["{{ name }}", "${x.y}", "%CITY%", "%%city%%", "<%= title %>", "[[post_t
 
 
 @pytest.mark.parametrize("slot", SLOTS)
-def test_slots(slot):
-    assert residue.open_slots(f"Dear {slot} of the town")
-    assert not residue.open_slots(f'A slot such as "{slot}" is filled') and not residue.open_slots(f"print `{slot}` here")
-    assert residue.bad_title(slot, []) and residue.bad_title(f"Welcome {slot}", [])
-    assert not residue.bad_title(f"A long tour of {slot} in our templates", [])
-
-
-@pytest.mark.parametrize("text", ["[Giwa] plain title", "a < b & c > d", "100% of it, 5 % more", "f(x) = {a, b}", "x_y and __init", "list[int]", "5 &amp; 6"])
-def test_no_slots(text):
-    assert not residue.open_slots(text)
-
-
-def test_titles():
-    for x in ("Error 404", "Page not found", "undefined | Mysite", "Just a second", "Insert headline", "403 - Mysite", "noscript"):
-        assert residue.bad_title(x, ["mysite"]), x
-    for x in ("How we cut our 404 errors by half", "What the page not found page should say", "Living without JavaScript", None, "", "Loading the truck"):
-        assert not residue.bad_title(x, []), x
-
-
-def test_residue_aligns_templates(spark):
-    r = random.Random(3)
-    say = lambda n: ". ".join(" ".join(r.choices(WORDS, k=9)).capitalize() for _ in range(n)) + "."
-    rows = []
-    for i in range(40):
-        rows.append((i, say(12), f"T {i}", "plain"))
-    for i in range(40, 52):  # a wording that no list knows, with an address that varies
-        rows.append((i, f"Kalu resting near http://s.example/p{i} until hour {i}", f"T {i}", "case"))
-    for i in range(52, 55):  # the same after some text
-        rows.append((i, say(8) + f"\nKalu resting near http://s.example/p{i} until hour {i}", f"T {i}", "case"))
-    for i in range(55, 75):  # a sentence with a slot in the midst of ordinary pages
-        rows.append((i, say(10) + f"\nThe series has {i} parts at http://s.example/s{i}", f"T {i}", "plain"))
-    for i in range(75, 85):  # copies of a short text
-        rows.append((i, "Kind mules rested at 5 near the old gate", f"Same {i}", "plain"))
-    rows += [(90, "lorem ipsum dolor amet elementum urna tempor", "t", "case"), (91, say(9) + " Please enable cookies if you only need to.", "t", "case"), (92, "", "t", "plain"), (93, None, "Not found", "case"), (94, "foo bar foo bar foo bar foo bar foo bar", "t", "case")]
-    d = spark.createDataFrame([(i, x, t, "s.example", "http://s.example/x") for i, x, t, _ in rows], "doc_id long, text string, title string, source string, url string")
-    assert {x.doc_id for x in residue.found(d).collect()} == {i for i, _, _, k in rows if k == "case"}
-
-
-@pytest.mark.parametrize("n", [1, 3, 8, 20])
-def test_residue_takes_notices_at_the_end_at_every_count(spark, n):
-    r = random.Random(5)
-    say = lambda k: ". ".join(" ".join(r.choices(WORDS, k=9)).capitalize() for _ in range(k)) + "."
-    rows = [(i, say(9) + f"\nNotice: Undefined variable {i}x in /var/app/view.php on line {i}\nPrinted by the mill", "case") for i in range(n)]
-    rows += [(100 + i, say(4) + f"\nHe was told that his session expired {i} times\n" + say(9), "plain") for i in range(n)]
-    for i in range(200, 205):  # no list knows it; mostly, but not always, at the end of text
-        rows.append((i, f"Kalu resting near http://s.example/p{i} until hour {i}", "case"))
-    rows += [(i, say(9) + f"\nKalu resting near http://s.example/p{i} until hour {i}", "case") for i in range(205, 217)]
-    d = spark.createDataFrame([(i, x, f"T {i}", "s.example", "http://s.example/x") for i, x, _ in rows], "doc_id long, text string, title string, source string, url string")
-    assert {x.doc_id for x in residue.found(d).collect()} == {i for i, _, k in rows if k == "case"}
+def test_candidates_of_slots(slot):
+    found, _ = residue.candidates(f"Dear {slot} of the town")
+    assert found or residue.holds_default(f"Dear {slot} of the town")
+    for text in (f'A slot such as "{slot}" is filled', f"print `{slot}` here"):
+        assert not residue.candidates(text)[0] and not residue.holds_default(text)
+
+
+@pytest.mark.parametrize("text", ["100% of it, 5 % more", "x_y and __init", "f(x) and (so on), “quoted” — it's", ""])
+def test_no_candidates(text):
+    assert not residue.candidates(text)[0]
+
+
+def test_default_titles():
+    for x in ("undefined | Mysite", "Insert headline", "New page title here", "Untitled document", "ERROR"):
+        assert residue.default_title(x, ["mysite"]), x
+    for x in ("How we cut our 404 errors by half", "Error in the engine", "Loading the truck", "Mysite", " - "):
+        assert not residue.default_title(x, ["mysite"]), x
+
+
+def pages(spark, rows, source=lambda i: f"site{i % 7}.example"):
+    return spark.createDataFrame([(i, x, t, source(i), f"http://{source(i)}/x") for i, x, t, *_ in rows], "doc_id long, text string, title string, source string, url string")
+
+
+def sayer(seed):
+    r = random.Random(seed)
+    return lambda n: ". ".join(" ".join(r.choices(WORDS, k=9)).capitalize() for _ in range(n)) + "."
+
+
+def check_residue(spark, rows):
+    assert {x.doc_id for x in residue.found(pages(spark, rows)).collect()} == {r[0] for r in rows if r[3] == "case"}
+
+
+def test_residue_induces_notices_of_any_wording(spark):
+    say = sayer(3)
+    rows = [(i, say(12) + "\nKept by the mill", f"T {i}", "plain") for i in range(60)]
+    rows += [(100 + i, f"Калу спит у http://s.example/p{i} до {i} часов\nKept by the mill", f"T {i}", "case") for i in range(12)]
+    rows += [(120 + i, say(8) + f"\nКалу спит у http://s.example/q{i} до {i} часов", f"U {i}", "case") for i in range(3)]
+    rows += [(140 + i, say(10) + f"\nThe series has {i} parts at http://s.example/s{i}", f"V {i}", "plain") for i in range(20)]
+    rows += [(170 + i, f"Kalu repose près de la vieille porte\n{'Kept by the mill' * (i % 2)}", f"W {i}", "case") for i in range(6)]  # no mask: the titles differ
+    rows += [(180 + i, "Kind mules rested at 5 near the old gate", "Same", "plain") for i in range(10)]  # copies of a short text
+    check_residue(spark, rows)
+
+
+def test_residue_induces_delimiters(spark):
+    say = sayer(4)
+    names, marks = ["name", "title", "author", "city", "price"], [("⟦", "⟧"), ("~{", "}~"), ("[[", "]]"), ("$(", ")")]
+    rows = [(i, say(5) + f" Dear {a}{n}{z} of the town. " + say(5), f"T {i}", "case") for i, (n, (a, z)) in enumerate((n, m) for n in names for m in marks)]
+    rows += [(100 + i, say(5) + f" [{w.capitalize()}] packed it. " + say(3), f"T {i}", "plain") for i, w in enumerate(WORDS[:30])]
+    rows += [(200 + i, say(5) + f' A slot such as "{a}name{z}" is filled. ' + say(3), f"T {i}", "plain") for i, (a, z) in enumerate(marks)]
+    rows += [(300, say(6), "⟦ city ⟧", "case"), (301, "A tour of [[name]] in long templates\n" + say(6), "A tour of [[name]] in long templates", "plain"), (302, say(6), "Welcome $(author)", "case")]
+    check_residue(spark, rows)
+
+
+def test_residue_induces_filler(spark):
+    say, r = sayer(5), random.Random(6)
+    latin = ["dolo", "ametu", "nibha", "urnam", "porta", "feliq", "tempo", "orna"]
+    rows = [(i, " ".join(["lorem", "ipsum"] * (i % 2) + r.choices(latin, k=14)).capitalize() + ".", f"T {i}", "case") for i in range(20)]
+    rows += [(50 + i, f"The word lorem was set by this printer in {i} of the books that they have. " + say(4), f"U {i}", "plain") for i in range(10)]
+    rows += [(90, "foo bar foo bar foo bar foo bar foo bar", "t", "case"), (91, "xxx xx xxxx xx xxx", "t", "case"), (92, "", "t", "plain"), (93, None, "null", "case"), (94, say(5), "undefined | site3", "case"), (95, None, None, "plain")]
+    check_residue(spark, rows)
+
+
+def test_residue_takes_error_titles_from_their_records(spark):
+    say = sayer(8)
+    rows = [(i, f"Nothing lives at http://s.example/p{i}", "Kalu gone", "case") for i in range(8)]
+    rows += [(20, say(9), "Kalu gone", "case")] + [(30 + i, say(9), f"T {i}", "plain") for i in range(30)]
+    check_residue(spark, rows)
 
 
 def test_residue_induces_slots_without_delimiters(spark):
-    r = random.Random(7)
-    say = lambda k: ". ".join(" ".join(r.choices(WORDS, k=9)).capitalize() for _ in range(k)) + "."
+    say = sayer(7)
     forms = ["Welcome back, {}!", "Dear {}", "Written by {}.", "{} sent you a card"]
     names = ["Anna", "Bo Lind", "Cato", "Dora", "Emil"]
-    rows = [(i * 10 + k, f.format(x) + "\n" + say(6), "plain") for i, f in enumerate(forms) for k, x in enumerate(names)]
-    rows += [(100, "Welcome back, undefined!\n" + say(6), "case"), (101, "Dear customer_name\n" + say(6), "case"), (102, say(6) + "\nWritten by .", "case"), (103, "null sent you a card\n" + say(6), "case"), (104, "Welcome back, !\n" + say(6), "case")]
-    rows += [(110, "The result is undefined.\n" + say(6), "plain"), (111, "Set max_size to five.\n" + say(6), "plain"), (112, 'Welcome back, "undefined"!\n' + say(6), "plain")]
-    d = spark.createDataFrame([(i, x, f"T {i}", "s.example", "http://s.example/x") for i, x, _ in rows], "doc_id long, text string, title string, source string, url string")
-    assert {x.doc_id for x in residue.found(d).collect()} == {i for i, _, k in rows if k == "case"}
+    rows = [(i * 10 + k, f.format(x) + "\n" + say(6), f"T {i}{k}", "plain") for i, f in enumerate(forms) for k, x in enumerate(names)]
+    rows += [(100, "Welcome back, undefined!\n" + say(6), "a", "case"), (101, "Dear customer_name\n" + say(6), "b", "case"), (102, say(6) + "\nWritten by .", "c", "case"), (103, "null sent you a card\n" + say(6), "d", "case"), (104, "Welcome back, !\n" + say(6), "e", "case")]
+    rows += [(110, "The result is undefined.\n" + say(6), "f", "plain"), (111, "Set max_size to five.\n" + say(6), "g", "plain"), (112, 'Welcome back, "undefined"!\n' + say(6), "h", "plain")]
+    check_residue(spark, rows)
 
 
 def test_number_of_words_counts_site_lines():
