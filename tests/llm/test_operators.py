@@ -178,7 +178,7 @@ def test_site_lines(spark, monkeypatch, held):
     often = cut(sitelines.counted(d).select("k1", "k2"))
     rows, content = sitelines.marked(d, often)
     for x in rows.collect():
-        assert content(x.source, x.text, x.gone) == [y for k, y in enumerate(x.text.split("\n")) if (x.doc_id, k) not in want]
+        assert content(x.source, x.text, x.gone)[0] == [y for k, y in enumerate(x.text.split("\n")) if (x.doc_id, k) not in want]
 
 
 def test_clean_asks_for_texts_and_days(spark):
@@ -276,7 +276,7 @@ def test_residue_induces_slots_without_delimiters(spark):
 
 def test_number_of_words_counts_site_lines():
     text = " ".join(f"w{i}" for i in range(50)) + "\nprinted by the mill"
-    total, words = readlevel._content_words(lambda source, text, gone: text.split("\n")[:1], "s", text, None)
+    total, words = readlevel._content_words(lambda source, text, gone: sitelines.parted(text, {1}), "s", text, None)
     assert (total, len(words)) == (54, 50)
 
 
