@@ -39,15 +39,16 @@ _OF: dict[str, list[int]] = defaultdict(list)
 for _k, _l in enumerate(_LANGUAGES):
     for _w in dict.fromkeys(FUNCTION[_l].split()):
         _OF[_w].append(_k)
+_OF_GET = dict(_OF).get
 _EN = _LANGUAGES.index("en")
 
 
 def is_english(words: list[str]) -> bool:
     """More English function words than of any other language, and not next to none."""
     hits = [0] * len(_LANGUAGES)
-    for w, n in Counter(words).items():
-        for k in _OF.get(w, ()):
-            hits[k] += n
+    for ks in filter(None, map(_OF_GET, words)):
+        for k in ks:
+            hits[k] += 1
     en = hits[_EN]
     return en >= 0.08 * len(words) and all(en > h for k, h in enumerate(hits) if k != _EN)
 
@@ -117,17 +118,16 @@ def fit(docs: list[tuple[int, list[str], float]]) -> Level:
 
 def _content_words(content, source, text, gone) -> tuple[int, list[str]]:
     """Number of words of the whole text, and the words of its content."""
-    kept = content(source, text, gone)
+    kept, dropped = content(source, text, gone)
     words = _WORD.findall("\n".join(kept).lower())
-    total = len(words) if len(kept) == text.count("\n") + 1 else len(_WORD.findall(text.lower()))
-    return total, words
+    return len(words) + (len(_WORD.findall("\n".join(dropped).lower())) if dropped else 0), words
 
 
 def train(rows: DataFrame, content, labels: DataFrame, limit: int = GRADED_DOCS) -> Level:
-    """Fits on English documents of the graded sample, at most ``limit``, those with the lowest ids; a document's
+    """Fits on English documents of the graded sample, at most ``limit``, those with the lowest hashes of their ids; a document's
     grade is the mean over its reviewers, each counted once. Null grades and repeated rows do not count."""
     graded = labels.where("grade is not null and doc_id is not null").select("doc_id", "reviewer", "grade").distinct()
-    graded = graded.groupBy("doc_id").agg(F.avg("grade").alias("grade")).orderBy("doc_id").limit(limit)
+    graded = graded.groupBy("doc_id").agg(F.avg("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     sample = rows.join(F.broadcast(graded), "doc_id").collect()  # at most ``limit`` documents
     out, seen = [], set()
     for r in sample:

@@ -82,12 +82,19 @@ def counted(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return total.where(F.col("n_docs") >= min_docs)
 
 
+def parted(text: str, drop: set[int]) -> tuple[list[str], list[str]]:
+    """Lines of a text without those of the given numbers, and these."""
+    raw = text.split("\n")
+    return ([x for i, x in enumerate(raw) if i not in drop], [raw[i] for i in drop]) if drop else (raw, [])
+
+
 #: Lines of all sources that a Python worker may hold at once (16 bytes each, so 8 MB at most).
 HELD_LINES = 1 << 19
 
 
 def marked(docs: DataFrame, often: DataFrame):
-    """(docs with a column ``gone``, content): ``content(source, text, gone)`` gives the kept lines of a text.
+    """(docs with a column ``gone``, content): ``content(source, text, gone)`` gives the kept and
+    the dropped lines of a text.
 
     ``often`` has unique k1, k2 and is materialised. Up to HELD_LINES keys are broadcast, and ``gone`` is null;
     beyond that the numbers of a document's repeated lines are joined to it."""
@@ -95,20 +102,17 @@ def marked(docs: DataFrame, often: DataFrame):
         keys = frozenset(struct.pack("<qq", r.k1, r.k2) for r in often.select("k1", "k2").toLocalIterator())
         shared = docs.sparkSession.sparkContext.broadcast(keys)
 
-        def content(source, text, gone=None) -> list[str]:
+        def content(source, text, gone=None) -> tuple[list[str], list[str]]:
             held = shared.value
             if not held or source is None:
-                return text.split("\n")
+                return text.split("\n"), []
             at, k = line_keys(source, text)
-            drop = {i for i, x in zip(at, k) if x in held}
-            raw = text.split("\n")
-            return [x for i, x in enumerate(raw) if i not in drop] if drop else raw
+            return parted(text, {i for i, x in zip(at, k) if x in held})
 
         return docs.withColumn("gone", F.lit(None).cast("array<int>")), content
 
-    def content(source, text, gone=None) -> list[str]:
-        drop = set(gone if gone is not None else ())
-        return [x for i, x in enumerate(text.split("\n")) if i not in drop]
+    def content(source, text, gone=None) -> tuple[list[str], list[str]]:
+        return parted(text, set(gone if gone is not None else ()))
 
     drop = lookup_join(lines(docs).select("doc_id", "line_no", "k1", "k2"), often.select("k1", "k2"), ["k1", "k2"])
     return docs.join(drop.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "doc_id", "left"), content
