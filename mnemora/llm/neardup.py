@@ -1,15 +1,15 @@
 """Near-duplicate records by an exact set-similarity join over word runs (p2), with vertical partitioning.
 
 The runs of all documents have one global order, from rare to frequent. Its first part of each document, the
-part in which a similar pair must meet, is cut into fragments; every fragment is joined by itself and yields
-partial overlaps, which are summed per pair. Four shuffles of packed blocks carry this:
-
-1. ``_encode`` reads texts in blocks and makes a dictionary of runs per block; the dictionary is cut into
-   fragments, and copies inside a block are collapsed. Documents stay with their block.
-2. ``_count`` adds up document frequencies per fragment, and finds the representative of copies in different
-   blocks; both go back to the blocks.
-3. ``_prefixes`` orders each document's runs by (frequency, fragment, hash) and sends the rare ones, with their
-   positions, to their fragments. A run in very many documents is split over a grid of cells.
+part in which a similar pair must meet, is cut into fragments at pivots of that order; every fragment is joined by
+itself and yields partial overlaps, which are summed per pair. Four shuffles of packed blocks carry this:
+
+1. ``_encode`` reads texts in blocks and makes a dictionary of runs per block; the dictionary is dealt out by ranges of
+   hashes, and copies inside a block are collapsed. Documents stay with their block.
+2. ``_count`` adds up document frequencies per range, and finds the representative of copies in different
+   blocks; both go back to the blocks. The frequencies of one range, a sample of all runs, give the pivots.
+3. ``_prefixes`` orders each document's runs by (frequency, hash) and sends the rare ones, with their positions, to the
+   fragments between whose pivots they lie. A run in very many documents is split over a grid of cells.
 4. ``_join`` pairs the documents of each run under length and position bounds and counts per pair; ``_sum`` adds
    up the counts of a pair over all fragments and keeps pairs that meet MEET times.
 
@@ -37,18 +37,19 @@ from mnemora.runtime import cut, lookup_join, map_arrow
 MEET = 4
 #: Words of a block; bounds the memory of a task.
 BLOCK_WORDS = 2_500_000
-#: Documents per fragment aimed at, the most fragments (beyond them fragments grow), and documents of one run per
-#: cell of its grid.
-FRAGMENT_DOCS, MOST_FRAGMENTS, CELL_DOCS = 10_000, 50_000, 4096
+#: Characters of text per fragment aimed at, and documents of one run per cell of its grid.
+FRAGMENT_CHARS, CELL_DOCS = 12_000_000, 4096
+#: Pairs that a run's postings make are this much cheaper than the postings; for balancing fragments.
+PAIR_COST = 16
 #: Pairs made at once in ``_join``.
 PAIRS_AT_ONCE = 4_000_000
-#: Classes of exact copies up to this size are written out as pairs; larger ones as (representative, copy).
-CLASS_PAIRS = 1000
+#: Default of ``found``: classes of exact copies up to this size are written out as pairs.
+EXPAND = 1000
 
 _WORD = re.compile(r"[^\W_]+")
 _ROW = "dest long, kind int, block long, at long, a binary, b binary, c binary, d binary"
 _FIELDS = ["dest", "kind", "block", "at", "a", "b", "c", "d"]
-_DOCS, _SLICE, _COPIES, _DF, _REPS, _POSTINGS, _HEAVY, _PAIRS, _MEMBERS = range(9)
+_DOCS, _SLICE, _COPIES, _DF, _REPS, _POSTINGS, _HEAVY, _PAIRS, _MEMBERS, _ASK, _PIVOTS = range(11)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -151,6 +152,7 @@ def _encode(width: int, min_words: int, fragments: int):
         df = np.bincount(loc, minlength=len(words_)).astype(np.uint32)
         digest = np.frombuffer(b"".join(digests[j] for j in kept), np.int64).reshape(-1, 2)
         rows = [(_spread(number) % fragments, _DOCS, number, 0, pack(ids[kept]), pack(np.bincount(doc, minlength=len(kept)).astype(np.uint32)), pack(keys.astype(np.int64), True), pack(np.stack([ids[copy], place[rep[copy]]], 1).reshape(-1)))]
+        rows.append((0, _ASK, number, 0, None, None, None, None))
         edge = np.searchsorted(words_, (np.arange(fragments + 1, dtype=np.float64) * (2**48 / fragments)).astype(np.int64))
         edge[-1] = len(words_)
         for f in range(fragments):
@@ -167,18 +169,26 @@ def _encode(width: int, min_words: int, fragments: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of a fragment's runs, and representatives of copies over all blocks."""
+    """Document frequencies of the runs of a range of hashes, and representatives of copies over all blocks. The first
+    range, a sample of all runs, also tells every block how much work lies at which frequency."""
     for _, rows in _grouped(batches, "dest"):
         out = [tuple(r[c] for c in _FIELDS) for r in rows if r["kind"] == _DOCS]
         slices = [r for r in rows if r["kind"] == _SLICE]
+        level = work = np.empty(0, np.int64)
         if slices:
             parts = [unpack(r["a"]) for r in slices]
-            _, number = np.unique(np.concatenate(parts), return_inverse=True)
+            first, number = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)[1:]
             df = np.bincount(number, weights=np.concatenate([unpack(r["b"]) for r in slices]))[number].astype(np.uint32)
-            z = 0
+            size, z = pack(np.array([len(first)])), 0
             for r, p in zip(slices, parts):
                 a, z = z, z + len(p)
-                out.append((r["dest"], _DF, r["block"], r["at"], pack(df[a:z]), pack(number[a:z].astype(np.int64), True), None, None))
+                out.append((r["dest"], _DF, r["block"], r["at"], pack(df[a:z]), pack(number[a:z].astype(np.int64), True), size, None))
+            level, n = np.unique(df[first].astype(np.int64), return_counts=True)
+            used = (level > 1) & (level <= CELL_DOCS)
+            level, work = level[used], (n * level * (PAIR_COST + level))[used]
+        for r in rows:
+            if r["kind"] == _ASK:
+                out.append((_spread(r["block"]), _PIVOTS, r["block"], 0, pack(level, True), pack(work), None, None))
         copies = [r for r in rows if r["kind"] == _COPIES]
         if copies:
             digest = np.concatenate([unpack(r["a"]) for r in copies]).reshape(-1, 2)
@@ -214,9 +224,12 @@ def _prefixes(threshold: Fraction, fragments: int):
             parts = sorted((r for r in rows if r["kind"] == _DF), key=lambda r: r["at"])
             if parts:
                 df, number_ = np.concatenate([unpack(r["a"]) for r in parts]), np.concatenate([unpack(r["b"]) for r in parts])
-                fragment = np.repeat([r["at"] for r in parts], [len(unpack(r["a"])) for r in parts])
+                n = [len(unpack(r["a"])) for r in parts]
+                range_ = np.repeat([r["at"] for r in parts], n)
+                pivots = next(r for r in rows if r["kind"] == _PIVOTS)
+                fragment = place(df, (range_ + (number_ + 0.5) / np.repeat([unpack(r["c"])[0] for r in parts], n)) / fragments, unpack(pivots["a"]), unpack(pivots["b"]))
                 doc, loc = keys // len(df), keys % len(df)
-                order = np.argsort((doc << 32) + np.minimum(df[loc], 2**32 - 1), kind="stable")  # ties stay in order of fragment and hash
+                order = np.argsort((doc << 32) + np.minimum(df[loc], 2**32 - 1), kind="stable")  # ties stay in order of hash
                 doc, loc = doc[order], loc[order]
                 start = np.cumsum(size) - size
                 pos = np.arange(len(doc)) - start[doc]
@@ -225,36 +238,45 @@ def _prefixes(threshold: Fraction, fragments: int):
                 use = (pos < (size - least + MEET)[doc]) & (df[loc] > 1) & ~gone[doc]
                 doc, loc, pos = doc[use], loc[use], pos[use]
                 heavy = df[loc] > CELL_DOCS
-                out += light(doc[~heavy], loc[~heavy], pos[~heavy], ids, size, number_, fragment)
-                out += grid(doc[heavy], loc[heavy], pos[heavy], ids, size, number_, fragment, df)
+                out += light(doc[~heavy], loc[~heavy], pos[~heavy], ids, size, range_ << 40 | number_, fragment)
+                out += grid(doc[heavy], loc[heavy], pos[heavy], ids, size, range_ << 40 | number_, df)
             if out:
                 yield _batch(out)
 
-    def light(doc, loc, pos, ids, size, number, fragment) -> list[tuple]:
-        order = np.argsort(loc, kind="stable")
+    def place(df: np.ndarray, within: np.ndarray, level: np.ndarray, work: np.ndarray) -> np.ndarray:
+        """Fragment of each run: the order (frequency, hash) is cut where each fragment has the same work. ``within`` is a
+        run's place among all by hash, from 0 to 1."""
+        if not len(level):
+            return np.zeros(len(df), np.int64)
+        at = np.minimum(np.searchsorted(level, df), len(level) - 1)
+        own = np.where(level[at] == df, work[at], 0)
+        before = (np.cumsum(work) - work)[at] + np.where(level[at] < df, work[at], 0)
+        return np.minimum((before + own * within) / work.sum() * fragments, fragments - 1).astype(np.int64)
+
+    def light(doc, loc, pos, ids, size, token, fragment) -> list[tuple]:
+        order = np.lexsort((loc, fragment[loc]))
         doc, loc, pos = doc[order], loc[order], pos[order]
         f = fragment[loc]
         cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else []
         out = []
         for a, z in zip(cuts, [*cuts[1:], len(f)]):
             used, di = np.unique(doc[a:z], return_inverse=True)
-            out.append((int(f[a]), _POSTINGS, 0, 0, pack(number[loc[a:z]], True), pack(np.stack([ids[used], size[used]], 1).reshape(-1)), pack(di.astype(np.uint32)), pack(pos[a:z].astype(np.uint32))))
+            out.append((int(f[a]), _POSTINGS, 0, 0, pack(token[loc[a:z]], True), pack(np.stack([ids[used], size[used]], 1).reshape(-1)), pack(di.astype(np.uint32)), pack(pos[a:z].astype(np.uint32))))
         return out
 
-    def grid(doc, loc, pos, ids, size, number, fragment, df) -> list[tuple]:
+    def grid(doc, loc, pos, ids, size, token, df) -> list[tuple]:
         out = []
         for t in np.unique(loc).tolist():
             own = loc == t
             g = -(-int(df[t]) // CELL_DOCS)
             who, p = doc[own], pos[own]
             cell = (ids[who].view(np.uint64) * _A >> np.uint64(33)).astype(np.int64) % g
-            token = int(fragment[t]) << 40 | int(number[t])
             for i in np.unique(cell).tolist():
                 at = cell == i
                 block = np.stack([ids[who[at]], size[who[at]], p[at]], 1).reshape(-1)
                 for j in range(g):
                     lo, hi = min(i, j), max(i, j)
-                    key = xxh3_64_intdigest(b"%d %d %d" % (token, lo, hi)) >> 2
+                    key = xxh3_64_intdigest(b"%d %d %d" % (token[t], lo, hi)) >> 2
                     out.append((key % fragments, _HEAVY, key, int(i == hi) + 2 * (lo == hi), pack(block), None, None, None))
         return out
 
@@ -309,7 +331,7 @@ def _join(threshold: Fraction, fragments: int):
                 yield _batch(keep)
             posts = [r for r in rows if r["kind"] == _POSTINGS]
             if posts:
-                token = np.concatenate([unpack(r["a"]) for r in posts])
+                token = np.unique(np.concatenate([unpack(r["a"]) for r in posts]), return_inverse=True)[1]
                 who = np.concatenate([unpack(r["b"]).reshape(-1, 2)[unpack(r["c"])] for r in posts])
                 pos = np.concatenate([unpack(r["d"]) for r in posts]).astype(np.int64)
                 key = (token << 24) + np.minimum(who[:, 1], 0xFFFFFF)
@@ -365,7 +387,8 @@ def similar(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(1, 2
     Documents with fewer than ``min_words`` words, a null text or a null doc_id take no part. doc_id is taken to
     be unique. Further columns are ignored; an empty table gives empty results."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_FRAGMENTS, -(-docs.count() // FRAGMENT_DOCS)))
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // FRAGMENT_CHARS))
     encoded = map_arrow(rows, _encode(width, min_words, fragments), _ROW)
     counted = map_arrow(_placed(encoded, fragments, "dest"), _count, _ROW)
     prefixes = map_arrow(_placed(counted, fragments, "block"), _prefixes(threshold, fragments), _ROW)
@@ -382,17 +405,19 @@ def similar(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(1, 2
     return pairs, members
 
 
-def found(docs: DataFrame, **how) -> DataFrame:
+def found(docs: DataFrame, expand: int | None = EXPAND, **how) -> DataFrame:
     """p2_found: (doc_id_a, doc_id_b), smaller id first, of all similar pairs.
 
-    Pairs between representatives are written out for the members of both classes, and copies among themselves,
-    for classes of up to CLASS_PAIRS documents; the copies of a larger class are tied to its representative
-    alone, by one row each. See ``similar`` for nulls and empty input."""
+    Pairs between representatives are written out for the members of both classes, and copies among themselves, for
+    classes of up to ``expand`` documents, or of any size if it is None. The copies of a larger class are tied to its
+    representative alone, by one row each; ``links`` and ``classes`` hold all pairs at every size. See ``similar`` for
+    nulls and empty input."""
     pairs, members = similar(docs, **how)
     pairs = cut(pairs)
-    classes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    small = members.join(classes.where(F.col("n") < CLASS_PAIRS), "rep", "left_semi")
-    large = members.join(classes.where(F.col("n") >= CLASS_PAIRS), "rep", "left_semi")
+    most = 2**62 if expand is None else expand
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    small = members.join(sizes.where(F.col("n") < most), "rep", "left_semi")
+    large = members.join(sizes.where(F.col("n") >= most), "rep", "left_semi")
     lists = cut(small.groupBy("rep").agg(F.sort_array(F.collect_list("doc_id")).alias("copies")))
     whole = lambda c: F.when(F.col("copies").isNull(), F.array(c)).otherwise(F.concat(F.array(c), "copies"))
     a = pairs.join(lists.withColumnRenamed("rep", "a"), "a", "left").select("b", F.explode(whole("a")).alias("p"))
@@ -402,11 +427,18 @@ def found(docs: DataFrame, **how) -> DataFrame:
     return every.select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"))
 
 
+def links(docs: DataFrame, **how) -> DataFrame:
+    """p2_links: (class_a, class_b), smaller id first, of the similar pairs of class representatives. With ``classes``,
+    which ties each document to its class, all similar pairs follow from it. See ``similar`` for nulls and empty
+    input."""
+    return similar(docs, **how)[0].select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"))
+
+
 def classes(docs: DataFrame, **how) -> DataFrame:
     """p2_classes: (doc_id, class_id, n_links), one row per document: the smallest id with the same words (its own
     id if there is none, or if it takes no part), and the number of other classes similar to its class."""
     pairs, members = similar(docs, **how)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     out = ids.join(members, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
-    return out.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.join(linked, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

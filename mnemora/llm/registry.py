@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "p1_found": lambda s, d: residue.found(t(s, d, "documents")),
         "p2_found": lambda s, d: neardup.found(t(s, d, "documents")),
+        "p2_links": lambda s, d: neardup.links(t(s, d, "documents")),
         "p2_classes": lambda s, d: neardup.classes(t(s, d, "documents")),
         "p3_found": lambda s, d: dedupe.found(t(s, d, "links"), t(s, d, "histories")),
         "p3_counts": lambda s, d: dedupe.counts(t(s, d, "links"), t(s, d, "histories")),
@@ -26,12 +27,15 @@ def queries() -> dict:
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-_P2 = f"""
-WITH w AS (SELECT doc_id, {_WORDS} w FROM documents WHERE text IS NOT NULL),
+_P2_PAIRS = """
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g FROM w WHERE len(w) >= 40),
 n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT x AS doc_id_a, y AS doc_id_b FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 2 * c >= p.n + q.n - c"""
+c AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+r AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 2 * c >= p.n + q.n - c)"""
+_P2 = f"WITH w AS (SELECT doc_id, {_WORDS} w FROM documents WHERE text IS NOT NULL), {_P2_PAIRS} SELECT x AS doc_id_a, y AS doc_id_b FROM r"
+_P2_CLASSES = f"""WITH a AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_WORDS} END w FROM documents),
+k AS (SELECT doc_id, w, CASE WHEN len(w) >= 40 THEN min(doc_id) OVER (PARTITION BY w) ELSE doc_id END class_id FROM a),
+w AS (SELECT doc_id, w FROM k WHERE doc_id = class_id AND w IS NOT NULL), {_P2_PAIRS}"""
 
 _DROP = r"[^\p{L}\p{N}]+"
 _FIELD = "regexp_matches(x, '^[-+]?(url:|title:|text:)')"
@@ -52,6 +56,8 @@ SELECT doc_id, line_no::INT AS line_no FROM m JOIN g USING (source, y)"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2,
+        "p2_links": _P2_CLASSES + " SELECT x AS class_a, y AS class_b FROM r",
+        "p2_classes": _P2_CLASSES + ", l AS (SELECT z, count(*) n FROM (SELECT x z FROM r UNION ALL SELECT y FROM r) GROUP BY z) SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM k LEFT JOIN l ON z = class_id",
         "p3_found": _P3 + " SELECT table_name, keep_id, id AS copy_id FROM r WHERE id <> keep_id",
         "p3_counts": _P3 + " SELECT table_name, keep_id, count(DISTINCT id) AS n_copies FROM r GROUP BY ALL",
         "p5_found": 'SELECT history_id, link_id FROM (SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY "count" DESC, link_id) rn FROM (SELECT DISTINCT history_id, link_id, "count" FROM history_links WHERE history_id IS NOT NULL AND "count" IS NOT NULL AND link_id IS NOT NULL)) WHERE rn <= 5',

@@ -66,10 +66,22 @@ def test_near_duplicate_classes(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (5, 0)}
 
 
-def test_large_classes_are_tied_to_their_representative(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CLASS_PAIRS", 4)
-    got = {tuple(r) for r in neardup.found(docs(spark, [" ".join(WORDS[:60])] * 9)).collect()}
-    assert got == {(1, i) for i in range(2, 10)}
+def test_large_classes_are_tied_to_their_representative(spark):
+    d = docs(spark, [" ".join(WORDS[:60])] * 9 + [" ".join(WORDS[:58] + WORDS[-1:])])
+    got = {tuple(r) for r in neardup.found(d, expand=4).collect()}
+    assert got == {(1, i) for i in range(2, 11)}
+    every = {tuple(r) for r in neardup.found(d, expand=None).collect()}
+    assert every == {(i, j) for i in range(1, 11) for j in range(i + 1, 11)}
+    rep = {r.doc_id: r.class_id for r in neardup.classes(d).collect()}
+    assert {tuple(r) for r in neardup.links(d).collect()} == {(1, 10)} and {i for i, c in rep.items() if c == 1} == set(range(1, 10))
+
+
+def test_one_document_near_to_many(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base + [f"x{i}y{k}" for k in range(60)])) for i in range(1, 3001)] + [(5000, " ".join(base + base[:2]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {tuple(r) for r in neardup.found(d, threshold=Fraction(2, 5)).collect()}
+    assert got == {(i, 5000) for i in range(1, 3001)}
 
 
 @settings(max_examples=60, deadline=None)
