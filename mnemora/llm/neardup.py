@@ -38,9 +38,10 @@ MEET = 4
 #: Words of a block; bounds the memory of a task.
 BLOCK_WORDS = 2_500_000
 #: Characters of text per fragment aimed at, and documents of one run per cell of its grid.
-FRAGMENT_CHARS, CELL_DOCS = 12_000_000, 4096
-#: Pairs that a run's postings make are this much cheaper than the postings; for balancing fragments.
-PAIR_COST = 16
+FRAGMENT_CHARS, CELL_DOCS = 6_000_000, 4096
+#: Frequency up to which the postings of a run are taken to lie in the rare part of most of its documents; for
+#: balancing fragments.
+RARE_DOCS = 16
 #: Pairs made at once in ``_join``.
 PAIRS_AT_ONCE = 4_000_000
 #: Default of ``found``: classes of exact copies up to this size are written out as pairs.
@@ -170,7 +171,7 @@ def _encode(width: int, min_words: int, fragments: int):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of the runs of a range of hashes, and representatives of copies over all blocks. The first
-    range, a sample of all runs, also tells every block how much work lies at which frequency."""
+    range, a sample of all runs, also tells every block how many postings lie at which frequency."""
     for _, rows in _grouped(batches, "dest"):
         out = [tuple(r[c] for c in _FIELDS) for r in rows if r["kind"] == _DOCS]
         slices = [r for r in rows if r["kind"] == _SLICE]
@@ -185,7 +186,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((r["dest"], _DF, r["block"], r["at"], pack(df[a:z]), pack(number[a:z].astype(np.int64), True), size, None))
             level, n = np.unique(df[first].astype(np.int64), return_counts=True)
             used = (level > 1) & (level <= CELL_DOCS)
-            level, work = level[used], (n * level * (PAIR_COST + level))[used]
+            level, work = level[used], (n * np.minimum(level, RARE_DOCS))[used]
         for r in rows:
             if r["kind"] == _ASK:
                 out.append((_spread(r["block"]), _PIVOTS, r["block"], 0, pack(level, True), pack(work), None, None))
@@ -244,7 +245,7 @@ def _prefixes(threshold: Fraction, fragments: int):
                 yield _batch(out)
 
     def place(df: np.ndarray, within: np.ndarray, level: np.ndarray, work: np.ndarray) -> np.ndarray:
-        """Fragment of each run: the order (frequency, hash) is cut where each fragment has the same work. ``within`` is a
+        """Fragment of each run: the order (frequency, hash) is cut where each fragment gets as many postings. ``within`` is a
         run's place among all by hash, from 0 to 1."""
         if not len(level):
             return np.zeros(len(df), np.int64)
