@@ -10,6 +10,7 @@ without HTML, so that pages of anonymous markup and pages without HTML are decod
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,8 +22,9 @@ from xxhash import xxh3_64_intdigest
 
 from mnemora.runtime import map_arrow
 
-#: Bound on the labelled pages the field is fitted on, and on the length of one of them in lines.
-TRAIN_PAGES, TRAIN_LINES = 1200, 400
+#: Bounds on the labelled pages the field is fitted on, and on the length of one of them in lines and in characters of
+#: HTML.
+TRAIN_PAGES, TRAIN_LINES, TRAIN_CHARS = 1200, 400, 200_000
 #: Size of the hashed feature space, passes and strength of regularisation.
 FEATURES, PASSES, RATE, L2 = 1 << 18, 120, 0.08, 2e-4
 
@@ -123,8 +125,19 @@ def _bucket(n: int) -> int:
     return n if n < 4 else 2 + n.bit_length()
 
 
-def _hash(s: str) -> int:
-    return xxh3_64_intdigest(s) % FEATURES
+class _Memo(dict):
+    """Hashed features by their names; emptied when it holds MOST of them."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, s: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[s] = h = xxh3_64_intdigest(s) % FEATURES
+        return h
+
+
+_hash = _Memo().__getitem__
 
 
 def features(title: str | None, url: str | None, lines: list[str], leaves: list[Leaf | None]) -> tuple[list[list[int]], list[list[int]], list[list[int]]]:
@@ -144,10 +157,17 @@ def features(title: str | None, url: str | None, lines: list[str], leaves: list[
     long = [len(w) >= 12 or len(x) >= 60 for w, x in zip(words, norm)]
     first_long = next((i for i in range(n) if long[i]), n)
     last_long = next((i for i in range(n - 1, -1, -1) if long[i]), -1)
+    # per outermost block its lines, the place of each line among them and the number of long ones; the same per path
     tops: dict[int, list[int]] = {}
+    place, long_of, same, long_same = [0] * n, Counter(), Counter(), Counter()
     for i, f in enumerate(leaves):
         if f is not None:
-            tops.setdefault(f.top, []).append(i)
+            place[i] = len(tops.setdefault(f.top, []))
+            tops[f.top].append(i)
+            long_of[f.top] += long[i]
+            path = f.tags, f.names
+            same[path] += 1
+            long_same[path] += long[i]
     short = [f"{_bucket(len(w))}{'.' if x[-1] in '.!?。' else ':' if x[-1] == ':' else '-'}" for w, x in zip(words, norm)]
     text, tags, names = [], [], []
     for i in range(n):
@@ -179,7 +199,7 @@ def features(title: str | None, url: str | None, lines: list[str], leaves: list[
         while a > 0 and not long[a - 1] and i - a < 12 and not long[i]:
             a -= 1
         t.append(f"q{_bucket(i - a)}")
-        text.append([_hash(y) for y in t])
+        text.append(list(map(_hash, t)))
         f = leaves[i]
         if f is None:
             tags.append([_hash("nohtml")])
@@ -188,15 +208,15 @@ def features(title: str | None, url: str | None, lines: list[str], leaves: list[
         plain = [y for y in f.tags if y not in _SEMANTIC and y not in ("html", "body")]
         around = tops[f.top]
         g = [f"T{plain[-1] if plain else ''}", "P" + ">".join(plain[-3:]), f"D{len(plain)}", f"L{int(f.link)}", f"T{plain[-1] if plain else ''}{short[i]}"]
-        g += [f"G{_bucket(len(around))}", f"GH{int(head is not None and leaves[head] is not None and leaves[head].top == f.top)}", f"GL{_bucket(sum(long[j] for j in around))}", f"GI{min(around.index(i), 4)}", f"GE{min(len(around) - 1 - around.index(i), 4)}"]
+        g += [f"G{_bucket(len(around))}", f"GH{int(head is not None and leaves[head] is not None and leaves[head].top == f.top)}", f"GL{_bucket(long_of[f.top])}", f"GI{min(place[i], 4)}", f"GE{min(len(around) - 1 - place[i], 4)}"]
         g.append("GF" + shapes[around[0]] if len(words[around[0]]) <= 7 else "GF-")
         for k in (-1, 1):
             j = i + k
             o = leaves[j] if 0 <= j < n else None
             g.append(f"N{k}{(o.tags[-1] if o.tags else '') if o is not None else None}{int(o is not None and o.top == f.top)}{int(o is not None and o.tags == f.tags and o.names == f.names)}")
-        same = [j for j in range(n) if leaves[j] is not None and leaves[j].names == f.names and leaves[j].tags == f.tags]
-        g.append(f"S{_bucket(len(same))}{_bucket(sum(long[j] for j in same))}")
-        tags.append([_hash(y) for y in g])
+        path = f.tags, f.names
+        g.append(f"S{_bucket(same[path])}{_bucket(long_same[path])}")
+        tags.append(list(map(_hash, g)))
         names.append([_hash(y) for y in {*("A" + y for y in f.tags if y in _SEMANTIC), *("C" + y for y in f.names), f"Y{f.label}"}])
     return text, tags, names
 
@@ -231,7 +251,7 @@ def fit(pages: list[tuple[list[list[int]], list[int]]]) -> Field:
     """Maximum likelihood with L2, by Adam over all pages at once; forward and backward run over all pages in
     step. Deterministic."""
     w, trans, ends = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros((2, 2))
-    pages = [p for p in pages if p[0]]
+    pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))
     if not pages:
         return Field(w, trans, ends)
     size = np.array([len(p[0]) for p in pages])
@@ -243,6 +263,7 @@ def fit(pages: list[tuple[list[list[int]], list[int]]]) -> Field:
     gold = np.zeros((n, t), int)
     gold[page, step] = np.concatenate([p[1] for p in pages])
     alive = np.arange(t)[None] < size[:, None]
+    live = alive.sum(0).tolist()  # pages that reach a step come first
     count = np.bincount(flat, minlength=FEATURES)
     rare = count < 3
     params = [w, trans, ends]
@@ -253,14 +274,15 @@ def fit(pages: list[tuple[list[list[int]], list[int]]]) -> Field:
         alpha = np.zeros((n, t, 2))
         alpha[:, 0] = score[:, 0] + ends[0]
         for i in range(1, t):
-            alpha[:, i] = np.logaddexp(alpha[:, i - 1, :1] + trans[0], alpha[:, i - 1, 1:] + trans[1]) + score[:, i]
+            m = live[i]
+            alpha[:m, i] = np.logaddexp(alpha[:m, i - 1, :1] + trans[0], alpha[:m, i - 1, 1:] + trans[1]) + score[:m, i]
         beta = np.zeros((n, t, 2))
         last = np.arange(n), size - 1
         beta[last] = ends[1]
         for i in range(t - 2, -1, -1):
-            m = alive[:, i + 1]
-            x = beta[m, i + 1] + score[m, i + 1]
-            beta[m, i] = np.logaddexp(trans[:, 0] + x[:, :1], trans[:, 1] + x[:, 1:])
+            m = live[i + 1]
+            x = beta[:m, i + 1] + score[:m, i + 1]
+            beta[:m, i] = np.logaddexp(trans[:, 0] + x[:, :1], trans[:, 1] + x[:, 1:])
         z = np.logaddexp.reduce(alpha[last] + ends[1], axis=1)
         marg = np.exp(alpha + beta - z[:, None, None]) * alive[..., None]
         g_line = (gold - marg[..., 1])[page, step]
@@ -307,7 +329,7 @@ def examples(title, url, text, html) -> list[tuple[list[list[int]], list[int]]]:
 def train(captures: DataFrame, pages: int = TRAIN_PAGES) -> Field:
     """Fits the field on at most ``pages`` labelled pages, those with the lowest hash of their id."""
     rows = captures.select("page_id", "title", "url", "text", "html").where("html is not null and text is not null and text <> ''")
-    named = rows.where(F.lower("html").rlike(r"<(main|article)\b|(id|class)\s*=\s*[\"'][^\"']*\b(content|post|article|entry|story)\b"))
+    named = rows.where(F.length("html") <= TRAIN_CHARS).where(F.lower("html").rlike(r"<(main|article)\b|(id|class)\s*=\s*[\"'][^\"']*\b(content|post|article|entry|story)\b"))
     sample = named.orderBy(F.xxhash64("page_id"), "page_id").limit(pages).collect()
     seen, out = set(), []
     for r in sample:
@@ -332,19 +354,18 @@ def found(captures: DataFrame, pages: int = TRAIN_PAGES) -> DataFrame:
 
     A null or empty text has no lines; null or empty html, title and url are allowed. Repeated rows count once, a
     null page_id gives no row. Line numbers count the pieces of ``text`` split at line feeds, empty ones included.
-    An empty table gives no rows; further columns are ignored. The model sent to the executors has a fixed size."""
+    Rows that differ under one page_id give the lines of
+    either. An empty table gives no rows; further columns are ignored. The model sent to the executors has a fixed size."""
     model = train(captures, pages)
     shared = captures.sparkSession.sparkContext.broadcast((model.w, model.trans, model.ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(*shared.value)
         for b in batches:
-            ids, lines = [], []
-            for i, *page in zip(*(b.column(c).to_pylist() for c in ("page_id", "title", "url", "text", "html"))):
-                got = decode(field, *page)
-                ids += [i] * len(got)
-                lines += got
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], ["page_id", "line_no"])
+            lines = [decode(field, *page) for page in zip(*(b.column(c).to_pylist() for c in ("title", "url", "text", "html")))]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(lines, pa.list_(pa.int32()))], ["page_id", "lines"])
 
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), "title", "url", "text", "html").where("page_id is not null and text is not null")
-    return map_arrow(rows, run, "page_id long, line_no int").distinct()
+    pages_ = map_arrow(rows, run, "page_id long, lines array<int>").where(F.size("lines") > 0)
+    once = pages_.groupBy("page_id").agg(F.collect_set("lines").alias("lines"))  # equal rows collapse before the shuffle
+    return once.select("page_id", F.explode(F.array_distinct(F.flatten("lines"))).alias("line_no"))

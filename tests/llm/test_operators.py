@@ -340,6 +340,20 @@ def test_field_learns_and_carries_over():
     assert wrong / total < 0.02
 
 
+def test_long_pages_are_read_in_linear_time():
+    import time
+
+    def seconds(n):
+        lines = [f"entry {i} of the list" for i in range(n)]
+        html = "<ul>" + "".join(f'<li class="c"><a>{x}</a></li>' for x in lines) + "</ul>"
+        t = time.process_time()
+        mainbody.features("T", "http://site.example/", lines, mainbody.align(lines, html))
+        return time.process_time() - t
+
+    seconds(500)
+    assert seconds(16_000) < 16 * max(seconds(2_000), 0.05)
+
+
 # mixing
 
 
