@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.runtime import cut, map_arrow
+from mnemora.runtime import cut, lookup_join, map_arrow
 
 #: Rows of one range partition aimed at.
 ROWS_PER_PARTITION = 1_000_000
@@ -117,7 +117,9 @@ def _runs(records: DataFrame, n_partitions: int, per_copy: bool) -> DataFrame:
     parts = records.select("table_name", "id", "key").repartitionByRange(n_partitions, "key", "id")
     scanned = cut(map_arrow(parts.sortWithinPartitions("key", "id"), _scan(per_copy), _SCAN))
     heads = scanned.where("table_name is null").groupBy("border").agg(F.min("keep_id").alias("head"))
-    mended = scanned.where("table_name is not null").join(F.broadcast(heads), "border", "left")  # at most 2 * n_partitions rows of 40 bytes
+    rows = scanned.where("table_name is not null")
+    at_border = lookup_join(rows.where("border is not null"), heads, ["border"], "left")
+    mended = rows.where("border is null").withColumn("head", F.lit(None).cast("long")).unionByName(at_border)
     return mended.select("table_name", F.coalesce("head", "keep_id").alias("keep_id"), "copy_id", "n")
 
 
