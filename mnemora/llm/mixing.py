@@ -19,8 +19,8 @@ from xxhash import xxh3_64_intdigest
 from mnemora.llm import bpe
 from mnemora.runtime import cut, map_arrow
 
-#: Nodes that are combined in one step of the tree.
-FANOUT = 32
+#: Documents of a leaf aimed at, and nodes that are combined in one step of the tree.
+LEAF_DOCS, FANOUT = 100_000, 32
 SEED = 20230101
 _EPS = 1e-9
 
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, targets: DataFrame, directory: str = bpe.TOKENIZERS, vo
     Sizes are token counts as in p7_ids. Documents with a null collection, one without a target, or no tokens take
     no part; a null text has no tokens. Of several targets for a collection the first by share counts. Targets with a
     null share, or null or no allowed repeats count as 0. Empty tables give an empty selection. doc_id is taken to be
-    unique. The result is the same for the same rows in the same files."""
+    unique. The result is the same for the same rows, however they are stored."""
     goal = targets.where("collection is not null").groupBy("collection").agg(F.max_by(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(0)).alias("r")), F.coalesce("target_share", F.lit(0.0))).alias("t"))
     goals = {r.collection: (float(r.t.s), int(r.t.r)) for r in goal.collect()}  # one row per target
     base = cut(sized(docs, targets, directory, vocabulary).where("n_tokens > 0"))
@@ -124,13 +124,14 @@ def mix(docs: DataFrame, targets: DataFrame, directory: str = bpe.TOKENIZERS, vo
     rate = spark.createDataFrame([(c, int(r + _EPS), max(0.0, r - int(r + _EPS))) for c, r in copies.items()] or [], "collection string, base int, p double")
     rows = base.join(F.broadcast(rate), "collection")
     tree = rows.select("doc_id", "collection", "n_tokens", F.lit(None).cast("int").alias("extra"), "p", F.lit(0).cast("long").alias("node"))
-    nodes = max(1, tree.rdd.getNumPartitions())
-    level = cut(map_arrow(tree, _reduce(nodes == 1), _ROW))
+    nodes = max(1, -(-base.count() // LEAF_DOCS))
+    leaf = F.pmod(F.xxhash64("doc_id"), F.lit(nodes)).cast("int")
+    level = cut(map_arrow(tree.repartitionById(nodes, leaf).sortWithinPartitions("collection", "doc_id"), _reduce(nodes == 1), _ROW))
     done = [level.where("extra is not null")]
     while nodes > 1:
         nodes = -(-nodes // FANOUT)
         up = level.where("extra is null").withColumn("to", F.floor(F.col("node") / FANOUT))
-        up = up.repartitionByRange(nodes, "to").sortWithinPartitions("collection", "doc_id").drop("to")
+        up = up.repartitionById(nodes, F.col("to").cast("int")).sortWithinPartitions("collection", "doc_id").drop("to")
         level = cut(map_arrow(up, _reduce(nodes == 1), _ROW))
         done.append(level.where("extra is not null"))
     extra = done[0]
