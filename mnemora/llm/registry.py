@@ -52,6 +52,16 @@ m AS (SELECT doc_id, source, line_no, trim(regexp_replace(lower(x), '[\s\x{a0}\x
 g AS (SELECT source, y FROM m WHERE y <> '' GROUP BY source, y HAVING count(DISTINCT doc_id) >= 5)
 SELECT doc_id, line_no::INT AS line_no FROM m JOIN g USING (source, y)"""
 
+_P6_CLEAN = r"""
+WITH d AS (SELECT source, count(DISTINCT captured_at::DATE) AS nd FROM documents WHERE source IS NOT NULL GROUP BY source),
+l AS (SELECT doc_id, o.source, CASE WHEN nd >= 2 THEN captured_at::DATE END dy, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no FROM documents o LEFT JOIN d USING (source) WHERE text IS NOT NULL),
+m AS (SELECT *, trim(regexp_replace(lower(x), '[\s\x{a0}\x{85}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', ' ', 'g')) y FROM l),
+k AS (SELECT doc_id, string_agg(y, chr(10) ORDER BY line_no) c FROM m WHERE y <> '' GROUP BY doc_id),
+p AS (SELECT source, y, c, count(DISTINCT doc_id) n, min(dy) dy FROM m JOIN k USING (doc_id) WHERE y <> '' GROUP BY source, y, c),
+g AS (SELECT source, y FROM p WHERE source IS NOT NULL GROUP BY source, y HAVING sum(n) >= 5 AND count(*) >= 5 AND count(DISTINCT dy) <> 1),
+r AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY line_no) t FROM m LEFT JOIN g USING (source, y) WHERE g.y IS NULL GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text FROM documents LEFT JOIN r USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -62,4 +72,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_counts": _P3 + " SELECT table_name, keep_id, count(DISTINCT id) AS n_copies FROM r GROUP BY ALL",
         "p5_found": 'SELECT history_id, link_id FROM (SELECT *, row_number() OVER (PARTITION BY history_id ORDER BY "count" DESC, link_id) rn FROM (SELECT DISTINCT history_id, link_id, "count" FROM history_links WHERE history_id IS NOT NULL AND "count" IS NOT NULL AND link_id IS NOT NULL)) WHERE rn <= 5',
         "p6_found": _P6,
+        "p6_clean": _P6_CLEAN,
     }

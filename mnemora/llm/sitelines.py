@@ -128,11 +128,23 @@ def found(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return lookup_join(lines(docs).select("doc_id", "line_no", "k1", "k2"), often, ["k1", "k2"]).select("doc_id", "line_no")
 
 
+def _dated(docs: DataFrame) -> DataFrame:
+    """Documents without a date where their source has fewer than MIN_DAYS days of capture, as these tell nothing."""
+    rows = docs.select("doc_id", "source", "text", *[c for c in ("captured_at",) if c in docs.columns])
+    if "captured_at" not in docs.columns:
+        return rows
+    few = rows.where("source is not null").groupBy("source").agg(F.countDistinct(F.to_date("captured_at")).alias("days")).where(F.col("days") < MIN_DAYS)
+    few = cut(few.select("source", F.lit(True).alias("few")))
+    return lookup_join(rows, few, ["source"], "left", 128).select("doc_id", "source", "text", F.when(F.col("few").isNull(), F.col("captured_at")).alias("captured_at"))
+
+
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_texts: int = MIN_TEXTS, min_days: int = MIN_DAYS) -> DataFrame:
     """p6_clean: (doc_id, text) of every document without the lines that stand in ``min_docs`` documents,
-    ``min_texts`` different texts and on ``min_days`` days. A null text stays null. The kept lines come back
-    in their order; one document's lines are gathered, never those of a source."""
-    often = cut(counted(docs, min_docs).where((F.col("n_texts") >= min_texts) & (F.col("n_days") >= min_days)).select("k1", "k2"))
+    ``min_texts`` different texts and on ``min_days`` days. A null captured_at is no day; where a line has none, or its
+    source was captured on fewer than MIN_DAYS days, the different texts decide alone. A null text stays null. The kept
+    lines come back in their order; one document's lines are gathered, never those of a source."""
+    enough = (F.col("n_texts") >= min_texts) & ((F.col("n_days") >= min_days) | (F.col("n_days") == 0))
+    often = cut(counted(_dated(docs), min_docs).where(enough).select("k1", "k2"))
     drop = lookup_join(lines(docs).select("doc_id", "line_no", "k1", "k2"), often, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     out = docs.select("doc_id", "text").join(drop, "doc_id", "left")
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("gone", p["i"]))

@@ -201,6 +201,19 @@ def test_clean_asks_for_texts_and_days(spark):
     assert got[0] == "copied line" and got[12] == "own 12"
 
 
+def test_clean_without_dates_asks_for_texts(spark):
+    import datetime as dt
+
+    schema = "doc_id long, text string, source string, captured_at timestamp"
+    rows = [(i, f"own {i}\nfoot", "one day", dt.datetime(2024, 1, 1)) for i in range(6)]
+    rows += [(10 + i, f"own {i}\nfoot", "no day", None) for i in range(6)] + [(20 + i, "copied\nfoot", "copies", None) for i in range(9)]
+    rows += [(30 + i, f"own {i}\nfoot", "days", dt.datetime(2024, 1, 1)) for i in range(6)] + [(36, "other", "days", dt.datetime(2024, 1, 2))]
+    got = {r.doc_id: r.text for r in sitelines.clean(spark.createDataFrame(rows, schema)).collect()}
+    assert got[0] == got[10] == "own 0" and got[20] == "copied\nfoot" and got[30] == "own 0\nfoot"
+    got = {r.doc_id: r.text for r in sitelines.clean(spark.createDataFrame(rows, schema).drop("captured_at")).collect()}
+    assert got[30] == "own 0"
+
+
 # residue
 
 SLOTS = ["{{ name }}", "${x.y}", "%CITY%", "%%city%%", "<%= title %>", "[[post_title]]", "__ITEM_NAME__", "@@user@@", "[object Object]", "{0}", "[TITLE]", "[insert link here]", "{% block x %}", "#{a.b}", "<!--#echo var=x-->"]
@@ -390,7 +403,17 @@ def test_mix_meets_targets(spark):
     got = selection.collect()
     assert len({x.doc_id for x in got}) == len(got) and all(0 < x.copies <= {"a": 1, "b": 2, "c": 3}[x.collection] for x in got)
     assert Counter(x.collection for x in got)["c"] == Counter(x[1] for x in rows)["c"]  # the scarce one is used up
-    assert {tuple(x) for x in mixing.selection(d, t).collect()} == {tuple(x) for x in got}
+    assert {tuple(x) for x in mixing.selection(d.repartition(3, "text"), t).collect()} == {tuple(x) for x in got}
+
+
+def test_mix_does_not_depend_on_the_layout(spark, monkeypatch):
+    if not Path(bpe.TOKENIZERS).exists():
+        pytest.skip("no vocabulary here")
+    monkeypatch.setattr(mixing, "LEAF_DOCS", 20)
+    d = spark.createDataFrame([(i, "ab"[i % 2], " ".join(WORDS[: 3 + i % 40])) for i in range(900)], "doc_id long, collection string, text string")
+    t = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 1)], "collection string, target_share double, max_repeats int")
+    one, other = ({tuple(x) for x in mixing.selection(x, t).collect()} for x in (d.repartition(5), d.orderBy("text").coalesce(1)))
+    assert one == other and len(one) > 400
 
 
 # reading level
