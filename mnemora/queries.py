@@ -126,7 +126,7 @@ def _rules_json(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.readStream.schema(t(s, d, name).schema).parquet(f"{d}/{name}.parquet*")
+    return s.readStream.schema(t(s, d, name).schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/{name}.parquet*")
 
 
 def _stream_clicks(s: SparkSession, d: str) -> DataFrame:
@@ -142,11 +142,15 @@ def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
     return ST.current(s, f"{tmp}/out").select("url", "page_id", "title", "favicon")
 
 
-def _stream_changes(s: SparkSession, d: str) -> DataFrame:
-    tmp = shared_folder(s)
-    v = _stream(s, d, "captures").select(U.strip_fragment(F.col("url")).alias("key"), F.col("captured_at").cast("timestamp").alias("at"), F.xxhash64("html").alias("content"))
-    ST.run_to_folder(ST.changes(v.where("key is not null")), f"{tmp}/checkpoint", f"{tmp}/out").awaitTermination()
-    return s.read.parquet(f"{tmp}/out").select(F.col("key").alias("url"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+def _stream_changes(force: bool):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        tmp = shared_folder(s)
+        v = _stream(s, d, "captures").select(U.strip_fragment(F.col("url")).alias("key"), F.col("captured_at").cast("timestamp").alias("at"), F.col("page_id").alias("id"), F.xxhash64("html").alias("content"))
+        v = v.withColumn("forced", F.col("id") % 10 == 0) if force else v
+        ST.run_to_folder(ST.changes(v), f"{tmp}/checkpoint", f"{tmp}/out").awaitTermination()
+        return s.read.parquet(f"{tmp}/out").select(F.col("key").alias("url"), F.col("id").alias("page_id")).distinct()
+
+    return run
 
 
 QUERIES_BY_KEY = {
@@ -211,7 +215,8 @@ QUERIES_BY_KEY = {
     "rules_json": _rules_json,
     "stream_click_counts": _stream_clicks,
     "stream_ingest": _stream_ingest,
-    "stream_change_capture": _stream_changes,
+    "stream_change_capture": _stream_changes(False),
+    "stream_change_forced": _stream_changes(True),
 }
 
 
@@ -338,6 +343,7 @@ _ICON = f"CASE WHEN h = '' THEN {_ORIGIN} || '/favicon.ico' WHEN regexp_matches(
 SQL_BY_KEY["favicon_url"] = f"WITH {_PAGES}, x AS (SELECT page_id, url, {_FAV} h FROM pages WHERE url IS NOT NULL) SELECT page_id, {_ICON} AS favicon_url FROM x"
 _TITLE = _entities(f"regexp_extract(coalesce(html, ''), '{H.TITLE}', 1)")
 SQL_BY_KEY["stream_ingest"] = f"WITH {_PAGES.replace('favicon FROM', 'favicon, captured_at FROM')}, x AS (SELECT page_id, regexp_replace(url, '#.+$', '') url, title, html, favicon, captured_at FROM pages), y AS (SELECT *, {_FAV} h, row_number() OVER (PARTITION BY url ORDER BY captured_at DESC, page_id DESC) rn FROM x WHERE regexp_matches(url, '{U.VALID}') AND NOT regexp_matches(url, '{_skip}') AND NOT starts_with(url, '{BASE}/')) SELECT url, page_id, CASE WHEN coalesce(title, '') = '' THEN trim({_TITLE}) ELSE title END AS title, CASE WHEN coalesce(favicon, '') = '' THEN {_ICON} ELSE favicon END AS favicon FROM y WHERE rn = 1"
-SQL_BY_KEY["stream_change_capture"] = "WITH {v} SELECT url, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS at FROM v WHERE url IS NOT NULL AND (rn = 1 OR html IS DISTINCT FROM b)"
-for _k in ("change_capture", "change_capture_forced", "stream_change_capture"):
+SQL_BY_KEY["stream_change_capture"] = "WITH {v} SELECT DISTINCT url, page_id FROM v WHERE url IS NOT NULL AND (rn = 1 OR html IS DISTINCT FROM b)"
+SQL_BY_KEY["stream_change_forced"] = "WITH {v} SELECT DISTINCT url, page_id FROM v WHERE url IS NOT NULL AND (rn = 1 OR html IS DISTINCT FROM b OR page_id % 10 = 0)"
+for _k in ("change_capture", "change_capture_forced", "stream_change_capture", "stream_change_forced"):
     SQL_BY_KEY[_k] = SQL_BY_KEY[_k].replace("{v}", _V)

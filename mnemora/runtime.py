@@ -19,11 +19,14 @@ SALTS = 16
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named by spark.checkpoint.dir; a private one only where none is named."""
+    """Uses the folder named by spark.checkpoint.dir. Where none is named, a session on one machine gets a private one;
+    one on a cluster is refused, as executors couldn't read it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mnemora-"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -9,14 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora import schemas
+from mnemora import schemas, storage
 
 
 def stored_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet table, or an empty one of the schema where nothing is stored yet."""
-    if not Path(path).exists():
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    """A Parquet table on any storage, or an empty one of the schema where nothing is stored yet."""
+    return storage.stored(spark, path, schema)
 
 
 def documents_json(spark: SparkSession, path: str) -> DataFrame:
@@ -43,14 +43,48 @@ def queries_from_messages(column: Column) -> Column:
     return F.from_json(column, schemas.QUERY)
 
 
+# The places and defaults of the settings.
+PLACES = ("~/.mnemorarc", "~/.config/mnemora/config.yml")
+DIRECTORY, SEARCH_URL, LOG_LEVEL = "~/.config/mnemora", "https://google.com/search?q={query}", "info"
+ADDRESS, DATABASE = "127.0.0.1:4433", "db"
+#: Section of the file in which a setting stands.
+SECTIONS = {"directory": "app", "search_url": "app", "log_level": "app", "address": "server", "base_url": "server", "database": "server"}
+
+
+def parse_yaml(text: str) -> dict:
+    """The part of YAML that settings need: nested maps by indentation, plain or quoted values, comments."""
+    root: dict = {}
+    open_: list[tuple[int, dict]] = [(-1, root)]
+    for number, line in enumerate(text.splitlines(), 1):
+        bare = line.strip()
+        if not bare or bare[0] == "#" or bare == "---":
+            continue
+        depth = len(line) - len(line.lstrip(" "))
+        m = re.match(r"""([A-Za-z_][\w-]*|"[^"]*"|'[^']*')\s*:(?:\s+(.*))?$""", bare)
+        if not m or "\t" in line[:depth]:
+            raise ValueError(f"line {number} of the settings isn't a key with a value: {bare!r}")
+        key, value = m.group(1).strip("\"'"), (m.group(2) or "").strip()
+        while open_[-1][0] >= depth:
+            open_.pop()
+        parent = open_[-1][1]
+        if not value or value[0] == "#":
+            parent[key] = child = {}
+            open_.append((depth, child))
+        elif value[0] in "\"'":
+            parent[key] = value[1 : value.index(value[0], 1)]
+        else:
+            parent[key] = re.split(r"\s#", value, maxsplit=1)[0].rstrip()
+    return root
+
+
 @dataclass(frozen=True)
 class Config:
-    directory: str = "~/.config/mnemora"
-    search_url: str = "https://google.com/search?q={query}"
-    log_level: str = "info"
-    address: str = "127.0.0.1:4433"
+    directory: str = DIRECTORY
+    search_url: str = SEARCH_URL
+    log_level: str = LOG_LEVEL
+    address: str = ADDRESS
     base_url: str = ""
-    database: str = "db"
+    database: str = DATABASE
 
     def checked(self) -> Config:
         """With the default base address, which must have a scheme and a host."""
@@ -61,18 +95,17 @@ class Config:
         return replace(self, base_url=base)
 
     def full_path(self, name: str) -> str:
-        """Absolute names stay, names that begin with a dot are relative to the working folder, others to the
+        """Absolute names stay, names that begin with a dot are relative to the folder of the program, others to the
         application's."""
         if name.startswith("/"):
             return name
-        return str(Path.cwd() / name) if name.startswith(".") else str(Path(self.directory).expanduser() / name)
+        return str(Path(sys.argv[0]).resolve().parent / name) if name.startswith(".") else str(Path(self.directory).expanduser() / name)
 
     @classmethod
     def load(cls, path: str | None = None) -> Config:
-        """From the given file, else the first of the usual places, else defaults. The file holds ``key: value`` lines,
-        in sections or not."""
-        places = [path] if path else ["~/.mnemorarc", "~/.config/mnemora/config.yml"]
-        for p in places:
+        """From the given file, else the first of the usual places, else defaults. These are files of the machine on
+        which the driver runs."""
+        for p in [path] if path else PLACES:
             file = Path(p).expanduser()
             if file.exists():
                 return cls.parse(file.read_text())
@@ -82,15 +115,18 @@ class Config:
 
     @classmethod
     def parse(cls, text: str) -> Config:
-        known = set(cls.__dataclass_fields__)
+        """Settings in their sections; one outside of any section counts as well, one in a wrong section doesn't."""
+        tree = parse_yaml(text)
         found = {}
-        for line in text.splitlines():
-            key, sep, value = line.split("#", 1)[0].strip().partition(":")
-            if sep and key.strip() in known and value.strip():
-                found[key.strip()] = value.strip().strip("'\"")
+        for name, section in SECTIONS.items():
+            inside = tree.get(section)
+            value = inside.get(name) if isinstance(inside, dict) and name in inside else tree.get(name)
+            if isinstance(value, str):
+                found[name] = value
         return cls(**found).checked()
 
     def write(self, path: str) -> None:
         """Refuses to replace a file."""
+        lines = [f"{section}:\n" + "".join(f"  {k}: '{getattr(self, k)}'\n" for k, s in SECTIONS.items() if s == section) for section in dict.fromkeys(SECTIONS.values())]
         with open(path, "x") as f:
-            f.write("".join(f"{k}: {getattr(self, k)}\n" for k in self.__dataclass_fields__))
+            f.write("".join(lines))

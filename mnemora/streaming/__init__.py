@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 from mnemora.operators import documents as D
 from mnemora.rules import Rules
 from mnemora.runtime import ship
+from mnemora.sources import ADDRESS
 
 
 def read(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "json", per_trigger: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(kind).load(folder)
 
 
-def ingest(captures: DataFrame, out: str, checkpoint: str, rules: Rules = Rules(), base_url: str = "http://127.0.0.1:4433") -> StreamingQuery:
+def ingest(captures: DataFrame, out: str, checkpoint: str, rules: Rules = Rules(), base_url: str = f"http://{ADDRESS}") -> StreamingQuery:
     """Accepted documents, appended per batch under batch=N. A batch that is run again replaces its own files, so
     nothing is stored twice. ``current`` reads the latest version per address."""
 
@@ -47,25 +49,35 @@ def latest_counts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("query", "url").agg(F.max_by("count", "batch").alias("count"))
 
 
-_CHANGE = T.StructType([T.StructField("key", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("content", T.LongType())])
+_CHANGE = T.StructType([T.StructField("key", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("id", T.LongType()), T.StructField("content", T.StringType())])
 _STATE = T.StructType([T.StructField("content", T.LongType())])
 
 
 def _changed(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["at", "content"])
-    last = state.get[0] if state.exists else None
-    before = rows["content"].shift()
-    before.iloc[0] = last
-    keep = rows["content"].ne(before) | before.isna()
-    state.update((int(rows["content"].iloc[-1]),))
-    yield rows[keep][["key", "at", "content"]]
+    """The rows of one key of one batch, in order of time and id. They are held together, without their pages, as a
+    batch isn't sorted; contents come as text and are compared as whole numbers, null as one of its own."""
+    held = [row for f in frames for row in zip(f["at"], f["id"], f["content"], f["forced"])]
+    last = state.get if state.exists else None
+    out = []
+    for at, i, content, forced in sorted(held, key=lambda r: r[:2]):
+        now = (None if content is None else int(content),)
+        if forced or now != last:
+            out.append((key[0], at, i, content))
+        last = now
+    if last is not None:
+        state.update(last)
+    if out:
+        yield pd.DataFrame(out, columns=["key", "at", "id", "content"])
 
 
 def changes(versions: DataFrame) -> DataFrame:
-    """Versions (key, at, content hash) that differ from the one before of their key. The state is one number per key;
-    a batch's rows of one key are held together, which bounds a batch by files per trigger."""
+    """Versions (key, at, id, content hash) that differ from the one before of their key, by (at, id), and those whose
+    ``forced`` is true, where there is such a column. Versions without key, time or id are left out. The state is one number per key; a batch's rows of one key are held
+    together, which files per trigger bound."""
     ship(versions.sparkSession)
-    return versions.groupBy("key").applyInPandasWithState(_changed, _CHANGE, _STATE, "append", "NoTimeout")
+    forced = F.coalesce("forced", F.lit(False)) if "forced" in versions.columns else F.lit(False)
+    rows = versions.select("key", "at", "id", F.col("content").cast("string").alias("content"), forced.alias("forced")).where("key is not null and at is not null and id is not null")
+    return rows.groupBy("key").applyInPandasWithState(_changed, _CHANGE, _STATE, "append", "NoTimeout").withColumn("content", F.col("content").cast("long"))
 
 
 def run_to_folder(df: DataFrame, checkpoint: str, out: str, mode: str = "append") -> StreamingQuery:

@@ -34,11 +34,13 @@ def test_ingest_keeps_the_last_version_and_can_run_again(spark, tmp_path):
 
 
 def test_stream_changes_equal_batch(spark, tmp_path):
-    rows = [(f"k{i % 2}", T0 + dt.timedelta(minutes=i), i // 4) for i in range(16)]
-    spark.createDataFrame(rows, "key string, at timestamp, content long").coalesce(1).write.json(str(tmp_path / "in"))
-    schema = spark.createDataFrame([], "key string, at timestamp, content long").schema
-    ST.run_to_folder(ST.changes(ST.read(spark, str(tmp_path / "in"), schema)), str(tmp_path / "c"), str(tmp_path / "out")).awaitTermination()
+    schema = "key string, at timestamp, id long, content long, forced boolean"
+    rows = [(f"k{i % 2}", T0 + dt.timedelta(minutes=i // 2), i, 2**53 + i // 4 if i % 7 else None, i == 9) for i in range(32)]
+    for k in range(2):
+        spark.createDataFrame(rows[k * 16 : k * 16 + 16] + [(None, T0, 99, 1, True)], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    source = ST.read(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, per_trigger=1)
+    ST.run_to_folder(ST.changes(source), str(tmp_path / "c"), str(tmp_path / "out")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
-    batch = D.changed(spark.createDataFrame(rows, "key string, at timestamp, content long"), "key", "content", "at")
-    assert {tuple(r) for r in out.select("key", "at", "content").collect()} == {tuple(r) for r in batch.select("key", "at", "content").collect()}
-    assert batch.agg(F.count("*")).first()[0] == 8
+    batch = D.changed(spark.createDataFrame(rows, schema), "key", "content", "at", "id", force="forced")
+    assert {tuple(r) for r in out.select("key", "at", "id", "content").collect()} == {tuple(r) for r in batch.select("key", "at", "id", "content").collect()}
+    assert batch.agg(F.count("*")).first()[0] > 8
