@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions import html as H
-from mnemora.functions import text as X
 from mnemora.functions import urls as U
 from mnemora.rules import Rules
 
@@ -66,6 +65,3 @@ def changed(versions: DataFrame, key: str, content: str, *order: str, force: str
         keep = keep | F.coalesce(F.col(force), F.lit(False))
     return versions.withColumn("__keep", keep).where("__keep").drop("__keep")
 
-
-def tokens_of(docs: DataFrame) -> DataFrame:
-    return docs.select("url", X.tokens(F.col("title")).alias("title"), X.tokens(F.col("text")).alias("text"))

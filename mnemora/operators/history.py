@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.rules import Rules
+from mnemora.runtime import cut
 
 TOP = 20
 
@@ -44,12 +45,35 @@ def merge_links(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.unionByName(new.join(stored, "url", "left_anti"))
 
 
+def look_up_or_add(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(id, key, ...) of every new key: of known ones as stored, of unknown ones with the next ids, in the order of the
+    keys. ``stored`` has an id and a unique key; ids are given out over a range partitioning, in two steps, so that no
+    task sees all keys."""
+    fresh = new.select(key).where(F.col(key).isNotNull()).distinct()
+    known = stored.join(fresh, key, "left_semi").select("id", key)
+    unknown = cut(fresh.join(stored.select(key), key, "left_anti").repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r.n for r in unknown.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
+    if not sizes:
+        return known
+    base, start = stored.agg(F.max("id")).first()[0] or 0, {}
+    for p in sorted(sizes):
+        start[p], base = base, base + sizes[p]
+    first = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return known.unionByName(unknown.select((first[F.col("__part")] + place).cast("long").alias("id"), key))
+
+
+def first_by(df: DataFrame, key: str) -> DataFrame:
+    """The row with the smallest key, or none."""
+    return df.where(F.col(key).isNotNull()).orderBy(key).limit(1)
+
+
 def top_links(history_links: DataFrame, links_: DataFrame, histories_: DataFrame, query: str, limit: int = TOP) -> DataFrame:
     """(url, title, count) of a query's most clicked links. The query's filter reaches all three scans: the id is
     looked up first, so the bridge table is read for one history only."""
     one = histories_.where(F.col("query") == query).select(F.col("id").alias("history_id"))
-    bridge = history_links.select("id", "history_id", "link_id", "count").dropDuplicates(["history_id", "link_id"])
-    rows = bridge.join(F.broadcast(one), "history_id", "left_semi")  # query is unique
+    rows = history_links.select("history_id", "link_id", "count").join(F.broadcast(one), "history_id", "left_semi")  # query is unique
+    rows = rows.groupBy("history_id", "link_id").agg(F.max("count").alias("count"))  # repeated rows count once
     return rows.join(links_.select(F.col("id").alias("link_id"), "url", "title"), "link_id").select("url", "title", "count").orderBy(F.desc("count"), "url").limit(limit)
 
 

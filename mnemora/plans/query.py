@@ -5,11 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from mnemora.functions.text import STOP_WORDS
+from mnemora.functions import text as X
 
 MUST, SHOULD, MUST_NOT = "must", "should", "must_not"
 KINDS = ("term", "phrase", "wildcard", "regex", "fuzzy", "range")
-_TOKEN = re.compile(r"\w+(?:[.'’]\w+)*")
 _RANGE = re.compile(r"(>=|<=|>|<)\"?(-?\d+(?:\.\d+)?)\"?$")
 
 
@@ -39,9 +38,10 @@ class Clause:
     op: str = ""
 
 
-def analyze(text: str) -> tuple[tuple[str, ...], tuple[int, ...]]:
-    """Tokens of a query word without stop words, and their places with them."""
-    kept = [(t, i) for i, t in enumerate(_TOKEN.findall(text.lower())) if t not in STOP_WORDS]
+def analyze(text: str, field: str | None = None, fields: dict[str, str] = X.FIELDS) -> tuple[tuple[str, ...], tuple[int, ...]]:
+    """Terms of a query word, by the analyzer of its field and without that one's stop words, and their places with them."""
+    how = X.analyzer_of(field, fields)
+    kept = [(t, i) for i, t in enumerate(how.plain(text)) if t not in how.stop]
     return tuple(t for t, _ in kept), tuple(i for _, i in kept)
 
 
@@ -77,7 +77,7 @@ def _unescape(s: str) -> str:
     return re.sub(r"\\(.)", r"\1", s)
 
 
-def parse(text: str) -> list[Clause]:
+def parse(text: str, fields: dict[str, str] = X.FIELDS) -> list[Clause]:
     """Clauses of a rewritten query. Clauses of stop words alone, or of nothing, disappear."""
     out = []
     for raw in _split(text):
@@ -98,7 +98,7 @@ def parse(text: str) -> list[Clause]:
             boost, s = float(m.group(1)), s[: m.start()]
         if s[0] == '"':
             body = _unescape(s[1:-1] if len(s) > 1 and s[-1] == '"' else s[1:])
-            terms, offsets = ((body.lower(),), (0,)) if field == "url" else analyze(body)
+            terms, offsets = analyze(body, field, fields)
             if terms:
                 out.append(Clause(occur, "phrase" if len(terms) > 1 else "term", field, body, terms, offsets, boost))
             continue
@@ -113,7 +113,7 @@ def parse(text: str) -> list[Clause]:
             out.append(Clause(occur, "wildcard", field, s, boost=boost))
             continue
         s = _unescape(s)
-        terms, offsets = ((s.lower(),), (0,)) if field == "url" else analyze(s)
+        terms, offsets = analyze(s, field, fields)
         if terms:
             out.append(Clause(occur, "term", field, s, terms, offsets, boost))
     return out

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora import rules as R
+from mnemora import sources as SO
 from mnemora import streaming as ST
+from mnemora.archive import Archive
 from mnemora.functions import html as H
 from mnemora.functions import text as X
 from mnemora.functions import urls as U
@@ -20,6 +22,7 @@ from mnemora.runtime import table as t
 
 RULES = R.Rules(skip=(r"^https?://docs\.", r"[?&]sort=old"), priority=(r"blog\.example", r"/q/\d+"), aliases={"go": "(go|golang)", "!so": "url:*stackoverflow.com*", "a": "b", "b": "c"})
 BASE = "https://koneko.test"
+_SPLIT = "2023-12-01"
 QUERIES = ["go  web !so", "  web  x ", "a b", '"go web"', '"x go y"', "-go", "Go", "", "garden"]
 URLS = ["", "nope", "http://", "http://a_b.com/x", "http://x/a b", "HTTP://UP.example/X#frag", "mailto:x@y", "https://h.example:8080/p?q=1#", "//no.scheme/x"]
 
@@ -59,11 +62,18 @@ def _top(text: str, **o):
     return run
 
 
-_BATCH = [(1, ["garden", "printer"]), (2, ["engine"]), (3, ["notebook", "broken", "market"]), (4, ["bahnhof", "garten"])]
+def asked(s: SparkSession, d: str) -> DataFrame:
+    """The stated set of queries: every history whose id is divisible by 100."""
+    return t(s, d, "histories").where("id % 100 = 0 and query is not null").select(F.col("id").alias("query_id"), F.col("query").alias("text"))
 
 
 def _batch(s: SparkSession, d: str) -> DataFrame:
-    return S.batch(I.postings(docs(s, d)), s.createDataFrame(_BATCH, "query_id int, terms array<string>"))
+    return S.batch(I.postings(docs(s, d)), asked(s, d).select("query_id", X.terms(F.col("text")).alias("terms")))
+
+
+def _batch_ranked(s: SparkSession, d: str) -> DataFrame:
+    x = docs(s, d)
+    return S.batch_ranked(I.postings(x), x, asked(s, d), S.Options(rules=RULES))
 
 
 def _score_range(s: SparkSession, d: str) -> DataFrame:
@@ -71,6 +81,124 @@ def _score_range(s: SparkSession, d: str) -> DataFrame:
     return S.matched(I.postings(x), x, S.compile_query("+garden score:>3", S.Options()), scores=False).select("url")
 
 
+def _number_term(s: SparkSession, d: str) -> DataFrame:
+    x = docs(s, d).withColumn("score", (F.length("url") % 7).cast("double"))
+    return S.matched(I.postings(x), x, S.compile_query("5 garden", S.Options()), scores=False).select("url")
+
+
+def _matched_fields(s: SparkSession, d: str) -> DataFrame:
+    x = docs(s, d)
+    return S.ranked(I.postings(x), x, "garden printer").select("url", F.array_join("fields", ",").alias("fields"))
+
+
+def _projection(s: SparkSession, d: str) -> DataFrame:
+    x = docs(s, d)
+    return S.results(I.postings(x), x, "garden printer", S.Options(fields=("text",)), highlight=False).select("rank", "url", "title", "text")
+
+
+def _own_pages(s: SparkSession, d: str) -> DataFrame:
+    """Documents as an archive gets them: the last capture of each address without its fragment."""
+    rows = t(s, d, "documents").select(U.strip_fragment(F.col("url")).alias("url"), "title", "text", "captured_at", "doc_id")
+    return D.latest(rows, "url", F.col("captured_at"), F.col("doc_id")).select("url", "title", "text")
+
+
+def _archive(s: SparkSession) -> Archive:
+    return Archive(s, shared_folder(s))
+
+
+def _archive_search(s: SparkSession, d: str) -> DataFrame:
+    a = _archive(s)
+    a.add(_own_pages(s, d))
+    a.refresh()
+    return a.search("garden printer").select("rank", "url", "relevance")
+
+
+def _after_update(s: SparkSession, d: str) -> DataFrame:
+    """Two versions of captured pages, the first of them indexed: the search sees the second."""
+    v = pages(s, d).join(t(s, d, "captures").select("page_id", "captured_at").dropDuplicates(["page_id"]), "page_id").where("url is not null").withColumn("url", U.strip_fragment(F.col("url")))
+    first = v.groupBy("url").agg(F.min(F.struct("captured_at", "page_id", "title", "text")).alias("r")).select("url", "r.title", "r.text")
+    last = D.latest(v.select("url", "title", "text", "captured_at", "page_id"), "url", F.col("captured_at"), F.col("page_id")).select("url", "title", "text")
+    a = _archive(s)
+    a.add(first)
+    a.refresh()
+    a.add(last)
+    return S.matched(a.postings(), a.documents(), S.compile_query("market", S.Options()), scores=False).select("url")
+
+
+def _archive_history(s: SparkSession, d: str) -> DataFrame:
+    a, c = _archive(s), clicks(s, d)
+    a.record_clicks(c)
+    a.record_clicks(c)  # sent again
+    return a.history_for(c.agg(F.min("query")).first()[0] or "")
+
+
+def _for_each(s: SparkSession, d: str) -> DataFrame:
+    a, seen = _archive(s), s.sparkContext.accumulator(0)
+    a.add(_own_pages(s, d))
+    a.for_each(lambda row: seen.add(1))
+    return s.createDataFrame([(seen.value,)], "documents long")
+
+
+def _result_json(s: SparkSession, d: str) -> DataFrame:
+    x, c = docs(s, d), clicks(s, d)
+    top = HI.histories(c).agg(F.min("query").alias("query"))
+    h = HI.top_by_query(HI.counts(c).join(F.broadcast(top), "query", "left_semi"), HI.links(c))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("rank", "url", F.coalesce("title", F.lit("")).alias("title"), "count"))), lambda r: F.struct(r["url"].alias("url"), r["title"].alias("title"), r["count"].alias("count")))
+    return S.total(I.postings(x), x, "garden printer").crossJoin(h.agg(rows.alias("history"))).select(F.to_json(F.struct("total", "history")).alias("body"))  # one row each
+
+
+def _from_json(s: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(s)
+    docs(s, d).select("url", "title", "text", F.lit("x").alias("other")).write.json(folder)
+    return SO.documents_json(s, folder).select("url", "title", F.length("text").alias("n_text"))
+
+
+def _from_messages(s: SparkSession, d: str) -> DataFrame:
+    told = docs(s, d).select(F.to_json(F.struct("url", "title")).alias("value")).unionByName(s.createDataFrame([("{",), ("null",), ("{}",)], "value string"))
+    return SO.documents_from_messages(told).select("url", "title")
+
+
+def _clicks_from_json(s: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(s)
+    clicks(s, d).select("url", "title", "query").write.json(folder)
+    return SO.clicks_json(s, folder).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _queries_from_messages(s: SparkSession, d: str) -> DataFrame:
+    told = asked(s, d).select("query_id", F.to_json(F.struct("text", F.lit("HTML").alias("highlight"), F.array(F.lit("url"), F.lit("title")).alias("fields"))).alias("body"))
+    return told.select("query_id", SO.queries_from_messages(F.col("body")).alias("q")).select("query_id", "q.text", "q.highlight", F.array_join("q.fields", ",").alias("fields"))
+
+
+def _stored_table(s: SparkSession, d: str) -> DataFrame:
+    folder, source = shared_folder(s), t(s, d, "links").select("id", "url")
+    none = SO.stored_table(s, f"{folder}/links", source.schema)
+    source.write.parquet(f"{folder}/links")
+    return none.unionByName(SO.stored_table(s, f"{folder}/links", source.schema))
+
+
+def _stored_postings(s: SparkSession, d: str) -> DataFrame:
+    folder = shared_folder(s)
+    none = I.open_or_create(s, f"{folder}/postings")
+    I.write(I.postings(docs(s, d)), f"{folder}/postings")
+    return none.unionByName(I.open_or_create(s, f"{folder}/postings")).where("term = 'garden'").select("url", "field", "freq")
+
+
+def _merge_links(s: SparkSession, d: str) -> DataFrame:
+    c, at = clicks(s, d), F.lit(_SPLIT).cast("timestamp_ntz")
+    return HI.merge_links(HI.links(c.where(F.col("ts") < at)), HI.links(c.where(F.col("ts") >= at)))
+
+
+def _rules_update(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(s)}/rules.json"
+    R.Rules.load(s, path).with_patterns("x+  ^y", "z").with_alias("k", "v w").with_alias("l", "m").without_alias("l").save(s, path)
+    return R.Rules.load(s, path).listed(s)
+
+
+def _settings(s: SparkSession, d: str) -> DataFrame:
+    c = SO.Config.parse("app:\n  directory: '/a #1'  # note\n  log_level: debug\nserver:\n  address: h:2\n")
+    return s.createDataFrame([(k, getattr(c, k)) for k in SO.SECTIONS], "name string, value string")
+
+
 def _highlight(s: SparkSession, d: str) -> DataFrame:
     x = docs(s, d)
     return S.results(I.postings(x), x, "garden printer", S.Options(rules=RULES)).select("rank", "url", "title", "text", "favicon", "score")
@@ -93,9 +221,6 @@ def _nested(s: SparkSession, d: str) -> DataFrame:
     return n.select("query", F.size("links").alias("n_links"), F.array_join(F.transform("links", lambda x: F.concat_ws("=", x["url"], x["count"].cast("string"))), "|").alias("links"))
 
 
-_SPLIT = "2023-12-01"
-
-
 def _incremental(s: SparkSession, d: str) -> DataFrame:
     c = clicks(s, d)
     a, b = c.where(F.col("ts") < F.lit(_SPLIT).cast("timestamp_ntz")), c.where(F.col("ts") >= F.lit(_SPLIT).cast("timestamp_ntz"))
@@ -169,8 +294,9 @@ QUERIES_BY_KEY = {
     "alias_list": lambda s, d: RULES.listed(s),
     "require_all": lambda s, d: s.createDataFrame([(i, Q.require_all(q)) for i, q in enumerate(QUERIES)], "id int, rewritten string"),
     "tokenize": lambda s, d: docs(s, d).select("url", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"), F.element_at(X.single(F.col("url")), 1).alias("url_token")),
-    "postings": lambda s, d: I.postings(docs(s, d)).where("field <> 'url'").select("url", "field", "term", "freq", F.element_at("positions", 1).alias("first_position"), "field_len"),
-    "doc_freq": lambda s, d: I.doc_freq(I.postings(docs(s, d)).where("field = 'text'")).select("term", "df"),
+    "postings": lambda s, d: I.postings(docs(s, d)).select("url", "field", "term", "freq", F.element_at("positions", 1).alias("first_position"), "field_len"),
+    "doc_freq": lambda s, d: I.doc_freq(I.postings(docs(s, d))),
+    "any_doc_freq": lambda s, d: I.any_doc_freq(I.postings(docs(s, d))).where("field = '*'").select("term", "df"),
     "field_len": lambda s, d: I.field_len(I.postings(docs(s, d))),
     "term_and": _search("garden printer"),
     "term_or": _search("(garden|bahnhof)"),
@@ -200,7 +326,33 @@ QUERIES_BY_KEY = {
     "ui_fallback": lambda s, d: docs(s, d).select("url", X.fallback(F.col("title"), "*title*").alias("title"), X.fallback(F.col("text"), "").alias("text")),
     "search_engine_url": lambda s, d: t(s, d, "histories").select("id", U.search_engine("https://s.example/?q={query}", F.col("query")).alias("url")),
     "service_urls": lambda s, d: _literal_urls(s).select("url", U.base_url(F.col("url"), F.lit("127.0.0.1:4433")).alias("base"), U.websocket(F.col("url")).alias("socket"), U.join_base(F.col("url"), F.lit("/add")).alias("add")),
-    "result_json": lambda s, d: s.createDataFrame([(2, [("https://a.example", "A", 3)])], "total long, history array<struct<url:string,title:string,count:long>>").select(F.to_json(F.struct("total", "history")).alias("body")),
+    "result_json": _result_json,
+    "term_cjk": _search("庭"),
+    "phrase_cjk": _search('"静かな庭"'),
+    "regex_broken": _search("/[/ garden"),
+    "escape_term": _search(r"garden\:printer"),
+    "number_term": _number_term,
+    "matched_fields": _matched_fields,
+    "field_projection": _projection,
+    "batch_ranked": _batch_ranked,
+    "archive_search": _archive_search,
+    "index_after_update": _after_update,
+    "archive_history": _archive_history,
+    "for_each_document": _for_each,
+    "source_json": _from_json,
+    "source_messages": _from_messages,
+    "source_form": lambda s, d: SO.documents_from_form(docs(s, d)).select("url", "title", "html", "favicon"),
+    "source_clicks": _clicks_from_json,
+    "source_queries": _queries_from_messages,
+    "stored_table": _stored_table,
+    "stored_postings": _stored_postings,
+    "merge_links": _merge_links,
+    "look_up_or_add": lambda s, d: HI.look_up_or_add(t(s, d, "links").select("id", "url"), docs(s, d), "url"),
+    "first_by_key": lambda s, d: HI.first_by(t(s, d, "histories").where("query like '%garden%'"), "id").select("id", "query"),
+    "rules_update": _rules_update,
+    "settings": _settings,
+    "data_url": lambda s, d: t(s, d, "links").select("id", H.data_url(F.lit("image/x-icon"), F.encode("title", "utf-8")).alias("icon")),
+    "query_of_url": lambda s, d: t(s, d, "histories").where("query is not null").select("id", U.query_of(U.search_engine("https://s.example/?q={query}", F.col("query"))).alias("q")),
     "total_garden": lambda s, d: (lambda x: S.total(I.postings(x), x, "garden"))(docs(s, d)),
     "batch_queries": _batch,
     "score_range": _score_range,
@@ -229,14 +381,14 @@ def _values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) v({names})"
 
 
-_TOK = X.TOKEN.replace("'", "''")
+_TOK, _SIGN = X.TOKEN.replace("'", "''"), X.SIGN.replace("{Is", "{")
 _DOCS = "docs AS (SELECT * FROM (SELECT doc_id, url, title, text, row_number() OVER (PARTITION BY url ORDER BY captured_at DESC NULLS LAST, doc_id DESC) rn FROM documents WHERE url IS NOT NULL) WHERE rn = 1)"
 _PAGES = "pages AS (SELECT DISTINCT page_id, url, title, text, html, favicon FROM captures)"
 _CLICKS = "c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY received_at) rn FROM clicks) WHERE rn = 1 AND url IS NOT NULL AND query IS NOT NULL)"
 
 
 def _tok(c: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({c}, '')), '{_TOK}')"
+    return f"regexp_extract_all(regexp_replace(lower(coalesce({c}, '')), '{_SIGN}', ' \\1 ', 'g'), '{_TOK}')"
 
 
 _D = f"{_DOCS}, k AS (SELECT url, title, text, lower(url) u, {_tok('title')} ta, {_tok('text')} xa FROM docs), d AS (SELECT *, list_filter(ta, lambda w: NOT list_contains({_list(X.STOP_WORDS)}, w)) tt, list_filter(xa, lambda w: NOT list_contains({_list(X.STOP_WORDS)}, w)) xt FROM k)"
@@ -246,6 +398,8 @@ _PAD = "(' ' || array_to_string({}, ' ') || ' ')"
 _PHRASE = f"({_PAD.format('ta')} LIKE '% broken market %' OR {_PAD.format('xa')} LIKE '% broken market %')"
 _GAP = f"(regexp_matches({_PAD.format('ta')}, ' broke [^ ]+ template ') OR regexp_matches({_PAD.format('xa')}, ' broke [^ ]+ template '))"
 _where = lambda w: f"WITH {_D} SELECT url FROM d WHERE {w}"
+_OWN = f"docs AS (SELECT * FROM (SELECT doc_id, u url, title, text, row_number() OVER (PARTITION BY u ORDER BY captured_at DESC NULLS LAST, doc_id DESC) rn FROM (SELECT *, regexp_replace(url, '#.+$', '') u FROM documents WHERE url IS NOT NULL)) WHERE rn = 1 AND regexp_matches(url, '{U.VALID}') AND NOT starts_with(url, 'http://{SO.ADDRESS}/'))"
+_LAST_PAGES = f"docs AS (SELECT * FROM (SELECT page_id doc_id, u url, title, text, row_number() OVER (PARTITION BY u ORDER BY captured_at DESC NULLS LAST, page_id DESC) rn FROM (SELECT DISTINCT page_id, regexp_replace(url, '#.+$', '') u, title, text, captured_at FROM captures WHERE url IS NOT NULL)) WHERE rn = 1 AND regexp_matches(url, '{U.VALID}') AND NOT starts_with(url, 'http://{SO.ADDRESS}/'))"
 _skip, _prio = (R.combined(p).replace("'", "''") for p in (RULES.skip, RULES.priority))
 
 
@@ -289,8 +443,9 @@ SQL_BY_KEY = {
     "alias_list": "SELECT * FROM " + _values([("skip", None, RULES.skip[0]), ("skip", None, RULES.skip[1]), ("priority", None, RULES.priority[0]), ("priority", None, RULES.priority[1]), ("alias", "!so", "url:*stackoverflow.com*"), ("alias", "a", "b"), ("alias", "b", "c"), ("alias", "go", "(go|golang)")], "kind, name, value"),
     "require_all": "SELECT * FROM " + _values([(0, "+go +web +!so"), (1, "+web +x"), (2, "+a +b"), (3, '+"go web"'), (4, '+"x go y"'), (5, "-go"), (6, "+Go"), (7, ""), (8, "+garden")], "id, rewritten"),
     "tokenize": f"WITH {_DOCS} SELECT url, array_to_string({_tok('text')}, ' ') AS tokens, lower(url) AS url_token FROM docs",
-    "postings": f"WITH {_D}, e AS (SELECT url, 'title' field, len(tt) field_len, unnest(ta) term, generate_subscripts(ta, 1) - 1 p FROM d UNION ALL SELECT url, 'text', len(xt), unnest(xa), generate_subscripts(xa, 1) - 1 FROM d) SELECT url, field, term, count(*)::INT AS freq, min(p)::INT AS first_position, max(field_len)::INT AS field_len FROM e WHERE NOT list_contains({_list(X.STOP_WORDS)}, term) GROUP BY url, field, term",
-    "doc_freq": f"WITH {_D}, e AS (SELECT url, unnest(list_distinct(xt)) term FROM d) SELECT term, count(*) AS df FROM e GROUP BY term",
+    "postings": f"WITH {_D}, e AS (SELECT url, 'title' field, len(tt) field_len, unnest(ta) term, generate_subscripts(ta, 1) - 1 p FROM d UNION ALL SELECT url, 'text', len(xt), unnest(xa), generate_subscripts(xa, 1) - 1 FROM d UNION ALL SELECT url, 'url', 1, u, 0 FROM d) SELECT url, field, term, count(*)::INT AS freq, min(p)::INT AS first_position, max(field_len)::INT AS field_len FROM e WHERE field = 'url' OR NOT list_contains({_list(X.STOP_WORDS)}, term) GROUP BY url, field, term",
+    "doc_freq": f"WITH {_D}, e AS (SELECT 'text' field, unnest(list_distinct(xt)) term FROM d UNION ALL SELECT 'title', unnest(list_distinct(tt)) FROM d UNION ALL SELECT 'url', u FROM d) SELECT field, term, count(*) AS df FROM e GROUP BY ALL",
+    "any_doc_freq": f"WITH {_D}, e AS (SELECT unnest(list_distinct(list_concat(xt, tt, [u]))) term FROM d) SELECT term, count(*) AS df FROM e GROUP BY term",
     "field_len": f"WITH {_D} SELECT url, 'url' AS field, 1 AS field_len FROM d UNION ALL SELECT url, 'title', len(tt)::INT FROM d WHERE len(tt) > 0 UNION ALL SELECT url, 'text', len(xt)::INT FROM d WHERE len(xt) > 0",
     "term_and": _where(f"{_HAS('garden')} AND {_HAS('printer')}"),
     "term_or": _where(f"{_HAS('garden')} OR {_HAS('bahnhof')}"),
@@ -312,7 +467,33 @@ SQL_BY_KEY = {
     "tfidf_topk": f"WITH {_ranked([('garden', 1.0), ('printer', 1.0)], True)} SELECT url, relevance FROM r {_best}",
     "boosted_topk": f"WITH {_ranked([('garden', 1.0), ('printer', 1.0)], True, f'''8.0 * {_title10} * CASE WHEN regexp_matches(lower(url), '{_prio}') THEN 10.0 ELSE 1.0 END''')} SELECT url, relevance FROM r {_best}",
     "total_garden": f"WITH {_D} SELECT count(*) AS total FROM d WHERE {_HAS('garden')}",
-    "batch_queries": f"WITH {_D}, q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_list(w)})' for i, w in _BATCH)}) v(query_id, w)) SELECT query_id, url FROM q, d WHERE len(list_filter(w, lambda x: NOT (list_contains(tt, x) OR list_contains(xt, x) OR u = x))) = 0",
+    "batch_queries": f"WITH {_D}, q AS (SELECT id query_id, list_distinct(list_filter({_tok('query')}, lambda w: NOT list_contains({_list(X.STOP_WORDS)}, w))) w FROM histories WHERE id % 100 = 0 AND query IS NOT NULL), z AS (SELECT query_id, len(w) need, unnest(w) term FROM q), e AS (SELECT url, unnest(list_distinct(list_concat(xt, tt, [u]))) term FROM d) SELECT query_id, url FROM z JOIN e USING (term) GROUP BY query_id, need, url HAVING count(*) = need",
+    "term_cjk": _where(_HAS("庭")),
+    "phrase_cjk": _where(f"({_PAD.format('ta')} LIKE '% 静 か な 庭 %' OR {_PAD.format('xa')} LIKE '% 静 か な 庭 %')"),
+    "regex_broken": f"WITH {_DOCS} SELECT url FROM docs WHERE false",
+    "escape_term": _where(f"{_HAS('garden')} OR {_HAS('printer')}"),
+    "number_term": _where(f"{_HAS('garden')} AND ({_HAS('5')} OR length(url) % 7 = 5)"),
+    "matched_fields": f"WITH {_D} SELECT url, concat_ws(',', CASE WHEN list_has_any(xt, ['garden', 'printer']) THEN 'text' END, CASE WHEN list_has_any(tt, ['garden', 'printer']) THEN 'title' END) AS fields FROM d WHERE {_HAS('garden')} AND {_HAS('printer')}",
+    "field_projection": f"WITH {_ranked([('garden', 1.0), ('printer', 1.0)], True)} SELECT (row_number() OVER (ORDER BY relevance DESC, url))::INT AS rank, url, '' AS title, '' AS text FROM r ORDER BY relevance DESC, url LIMIT 10",
+    "archive_search": f"WITH {_ranked([('garden', 1.0), ('printer', 1.0)], True, _title10)} SELECT (row_number() OVER (ORDER BY relevance DESC, url))::INT AS rank, url, relevance FROM r ORDER BY relevance DESC, url LIMIT 10".replace(_DOCS, _OWN),
+    "index_after_update": f"{_where(_HAS('market'))}".replace(_DOCS, _LAST_PAGES),
+    "archive_history": f"WITH {_CLICKS}, l AS (SELECT url, arg_min(row(title), (ts, click_id::VARCHAR)) t FROM c GROUP BY url) SELECT url, l.t[1] AS title, cnt AS \"count\" FROM (SELECT url, count(*) cnt FROM c WHERE query = (SELECT min(query) FROM c) GROUP BY url ORDER BY cnt DESC, url LIMIT 20) JOIN l USING (url)",
+    "for_each_document": f"WITH {_DOCS} SELECT count(*) AS documents FROM docs".replace(_DOCS, _OWN),
+    "source_json": f"WITH {_DOCS} SELECT url, title, length(text)::INT AS n_text FROM docs",
+    "source_messages": f"WITH {_DOCS} SELECT url, title FROM docs",
+    "source_form": f"WITH {_DOCS} SELECT url, title, '' AS html, '' AS favicon FROM docs",
+    "source_clicks": f"WITH {_CLICKS} SELECT query, count(*) AS n FROM c GROUP BY query",
+    "source_queries": "SELECT id AS query_id, query AS text, 'HTML' AS highlight, 'url,title' AS fields FROM histories WHERE id % 100 = 0 AND query IS NOT NULL",
+    "stored_table": "SELECT id, url FROM links",
+    "stored_postings": f"WITH {_D} SELECT url, 'text' AS field, {_n('garden', 'text')}::INT AS freq FROM d WHERE list_contains(xt, 'garden') UNION ALL SELECT url, 'title', len(list_filter(tt, lambda w: w = 'garden'))::INT FROM d WHERE list_contains(tt, 'garden')",
+    "merge_links": f"WITH {_CLICKS}, g AS (SELECT url, arg_min(row(title), (ts >= TIMESTAMP '{_SPLIT}', ts, click_id)) t FROM c GROUP BY url) SELECT url, t[1] AS title FROM g",
+    "look_up_or_add": f"WITH {_DOCS}, k AS (SELECT id, url FROM links WHERE url IN (SELECT url FROM docs)), n AS (SELECT url FROM docs WHERE url NOT IN (SELECT url FROM links WHERE url IS NOT NULL)) SELECT id, url FROM k UNION ALL SELECT (SELECT max(id) FROM links) + row_number() OVER (ORDER BY url), url FROM n",
+    "first_by_key": "SELECT id, query FROM histories WHERE query LIKE '%garden%' ORDER BY id LIMIT 1",
+    "rules_update": "SELECT * FROM " + _values([("skip", None, "x+"), ("skip", None, "^y"), ("priority", None, "z"), ("alias", "k", "v w")], "kind, name, value"),
+    "settings": "SELECT * FROM " + _values([("directory", "/a #1"), ("search_url", SO.SEARCH_URL), ("log_level", "debug"), ("address", "h:2"), ("base_url", "http://h:2"), ("database", SO.DATABASE)], "name, value"),
+    "data_url": "SELECT id, coalesce('data:image/x-icon;base64,' || to_base64(encode(title)), '') AS icon FROM links",
+    "query_of_url": "SELECT id, query AS q FROM histories WHERE query IS NOT NULL",
+    "result_json": f"WITH {_D}, {_CLICKS}, {_LINKS}, n AS (SELECT url, count(*) cnt FROM c WHERE query = (SELECT min(query) FROM c) GROUP BY ALL), h AS (SELECT url, cnt, row_number() OVER (ORDER BY cnt DESC, url) rk FROM n), j AS (SELECT list({{'url': url, 'title': coalesce(title, ''), 'count': cnt}} ORDER BY rk) history FROM h JOIN links_ USING (url) WHERE rk <= 20) SELECT to_json({{'total': (SELECT count(*) FROM d WHERE {_HAS('garden')} AND {_HAS('printer')}), 'history': history}})::VARCHAR AS body FROM j",
     "score_range": _where(f"{_HAS('garden')} AND length(url) % 7 > 3"),
     "highlight": f"WITH {_ranked([('garden', 1.0), ('printer', 1.0)], True, f'''{_title10} * CASE WHEN regexp_matches(lower(url), '{_prio}') THEN 10.0 ELSE 1.0 END''')}, b AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, url) rk FROM r), b2 AS (SELECT rk, url, title, text, {_pos('title')} tp, {_pos('text')} xp FROM b WHERE rk <= 10) SELECT rk::INT AS rank, url, coalesce(CASE WHEN tp IS NOT NULL THEN {_frag('title').replace('p -', 'tp -')} END, title, '') AS title, coalesce(CASE WHEN xp IS NOT NULL THEN {_frag('text').replace('p -', 'xp -')} END, '') AS text, '' AS favicon, 0.0::DOUBLE AS score FROM b2",
     "doc_upsert": f"WITH {_DOCS} SELECT url, doc_id FROM docs",
@@ -333,7 +514,6 @@ SQL_BY_KEY = {
     "search_engine_url": f"SELECT id, 'https://s.example/?q=' || {_enc} AS url FROM histories",
     "service_urls": f"SELECT url, regexp_replace(CASE WHEN url = '' THEN 'http://127.0.0.1:4433' ELSE url END, '/$', '') AS base, 'ws://' || regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) || '/search' AS socket, regexp_replace(url, '/$', '') || '/add' AS add FROM {_values([(u,) for u in URLS], 'url')}",
     "rules_json": "SELECT * FROM " + _values([(1, " ".join(RULES.skip), " ".join(RULES.priority), 4), (2, "", "", 0), (3, "", "", 0)], "id, skip, priority, n_aliases"),
-    "result_json": "SELECT '{\"total\":2,\"history\":[{\"url\":\"https://a.example\",\"title\":\"A\",\"count\":3}]}' AS body",
 }
 _V = "v AS (SELECT page_id, u AS url, html, captured_at, lag(html) OVER w b, row_number() OVER w rn FROM (SELECT DISTINCT page_id, regexp_replace(url, '#.+$', '') u, html, captured_at FROM captures) WINDOW w AS (PARTITION BY u ORDER BY captured_at, page_id))"
 _FAV = f"""regexp_extract(regexp_extract(coalesce(html, ''), '{H.ICON.replace("'", "''")}', 0), '{H.HREF.replace("'", "''")}', 1)"""

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, field, replace
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora import schemas
+from mnemora import schemas, storage
 
 
 def combined(patterns: tuple[str, ...]) -> str | None:
@@ -21,9 +19,7 @@ def combined(patterns: tuple[str, ...]) -> str | None:
 def matches(url: Column, patterns: tuple[str, ...]) -> Column:
     """Whether any pattern is found in the value; a broken list matches nothing."""
     one = combined(patterns)
-    try:
-        re.compile(one or "")
-    except re.error:
+    if one and storage.regex_error(one):
         one = None
     return F.coalesce(url.rlike(one), F.lit(False)) if one else F.lit(False)
 
@@ -72,8 +68,10 @@ class Rules:
         return replace(self, aliases={k: v for k, v in self.aliases.items() if k != keyword})
 
     def check(self) -> None:
+        """Refuses patterns that the engine which runs them can't read."""
         for p in (*self.skip, *self.priority):
-            re.compile(p)
+            if wrong := storage.regex_error(p):
+                raise ValueError(f"pattern {p!r}: {wrong}")
 
     def to_json(self) -> str:
         return json.dumps({"skip": list(self.skip), "priority": list(self.priority), "aliases": self.aliases}, indent=4)
@@ -87,16 +85,18 @@ class Rules:
         return rules
 
     @classmethod
-    def load(cls, path: str) -> Rules:
+    def load(cls, spark: SparkSession, path: str) -> Rules:
         """Reads the file; writes an empty one first where there is none."""
-        if not Path(path).exists():
-            cls().save(path)
-        return cls.from_json(Path(path).read_text())
+        text = storage.read_text(spark, path)
+        if text is None:
+            cls().save(spark, path)
+            return cls()
+        return cls.from_json(text)
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         """Patterns are checked before anything is written."""
         self.check()
-        Path(path).write_text(self.to_json())
+        storage.write_text(spark, path, self.to_json())
 
     def listed(self, spark: SparkSession) -> DataFrame:
         """(kind, name, value): one row per pattern and alias."""

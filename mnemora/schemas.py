@@ -12,15 +12,10 @@ def _struct(**columns: T.DataType) -> T.StructType:
 
 
 DOCUMENT = _struct(url=_S, html=_S, title=_S, text=_S, favicon=_S, score=_D)
-FORM_DOCUMENT = _struct(url=_S, title=_S, text=_S)
-CAPTURE = _struct(text=_S, title=_S, url=_S, html=_S, faviconURL=_S, favicon=_S)
 CLICK = _struct(url=_S, title=_S, query=_S)
 QUERY = _struct(text=_S, highlight=_S, fields=T.ArrayType(_S))
 RULES = _struct(skip=T.ArrayType(_S), priority=T.ArrayType(_S), aliases=T.MapType(_S, _S))
-_COMMON = {"id": _L, "created_at": _TS, "updated_at": _TS, "deleted_at": _TS}
-LINK = _struct(**_COMMON, url=_S, title=_S)
-HISTORY = _struct(**_COMMON, query=_S)
-HISTORY_LINK = _struct(**_COMMON, history_id=_L, link_id=_L, count=_L)
-URL_COUNT = _struct(url=_S, title=_S, count=_L)
 POSTING = _struct(url=_S, field=_S, term=_S, freq=_I, positions=T.ArrayType(_I), field_len=_I, all_len=_I)
-RESULT = _struct(total=_L, query=QUERY, documents=T.ArrayType(DOCUMENT), history=T.ArrayType(URL_COUNT))
+STORED = _struct(url=_S, title=_S, text=_S, html=_S, favicon=_S, score=_D, added=_TS, batch=_L)
+DOC_FREQ = _struct(field=_S, term=_S, df=_L)
+CLICK_EVENT = _struct(query=_S, url=_S, title=_S, ts=_TS, click_id=_S)

@@ -68,14 +68,14 @@ def stored(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFr
 
 def regex_error(pattern: str) -> str | None:
     """What is wrong with a pattern, as the engine that will run it says; None for a good one."""
-    from py4j.protocol import Py4JJavaError
     from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
 
     context = SparkContext._active_spark_context
     if context is None:
         raise RuntimeError("patterns are checked by a running session")
     try:
         context._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as e:
-        return e.java_exception.getMessage().splitlines()[0]
+    except IllegalArgumentException as e:
+        return str(e).strip().splitlines()[0]
     return None

@@ -13,6 +13,7 @@ from mnemora.functions import text as X
 from mnemora.functions import urls as U
 from mnemora.operators import documents as D
 from mnemora.operators import history as HI
+from mnemora.operators import search as S
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -72,15 +73,15 @@ def test_text(spark):
 
 def test_rules(spark, tmp_path):
     path = str(tmp_path / "rules.json")
-    r = R.Rules.load(path)
-    assert r == R.Rules() == R.Rules.load(path)
+    r = R.Rules.load(spark, path)
+    assert r == R.Rules() == R.Rules.load(spark, path)
     assert one(spark, r.is_skipped(F.lit("http://x"))) is False  # no pattern matches nothing
     r = r.with_patterns("a+  ^b", "c").with_alias("k", "v w").with_alias("", "x")
-    r.save(path)
-    assert R.Rules.load(path) == r and r.skip == ("a+", "^b") and r.aliases == {"k": "v w"}
+    r.save(spark, path)
+    assert R.Rules.load(spark, path) == r and r.skip == ("a+", "^b") and r.aliases == {"k": "v w"}
     with pytest.raises(Exception):
         r.with_patterns("(", "")
-    assert R.Rules.load(path) == r
+    assert R.Rules.load(spark, path) == r
     with pytest.raises(KeyError):
         r.without_alias("none")
     assert one(spark, R.matches(F.lit("x"), ("(",))) is False
@@ -122,7 +123,11 @@ def test_config(tmp_path):
     with pytest.raises(FileExistsError):
         c.write(str(tmp_path / "c.yml"))
     assert sources.Config.load(str(tmp_path / "c.yml")) == c
-    assert c.full_path("/x") == "/x"
+    assert c.full_path("/x") == "/x" and c.full_path("~x").endswith("/.config/mnemora/~x") and c.full_path("./x").endswith("/x")
+    c = sources.Config.parse("app:\n  directory: '/a #1'  # note\n  log_level: debug#1\nother:\n  directory: /wrong\n  deeper:\n    address: no\nserver:\n  address: h:2\n")
+    assert (c.directory, c.log_level, c.address, c.base_url) == ("/a #1", "debug#1", "h:2", "http://h:2")
+    with pytest.raises(ValueError):
+        sources.Config.parse("- a list")
 
 
 def test_json_sources(spark, tmp_path):
@@ -143,7 +148,7 @@ def test_archive(spark, tmp_path):
     assert a.add(spark.createDataFrame([("http://x.example/a", "Red fox", "a fox sleeps")], "url string, title string, text string")) == 1
     assert Path(tmp_path / "archive" / "documents").exists()
     a.compact()
-    assert spark.read.parquet(str(tmp_path / "archive" / "documents")).count() == 1
+    assert a.versions().count() == 1 and not Path(tmp_path / "archive" / "documents").exists()
     a.refresh()
     assert [r.url for r in a.list_urls().collect()] == ["http://x.example/a"]
     assert a.search("fox sleeps").first().text == "a <mark>fox</mark> <mark>sleeps</mark>"
@@ -159,11 +164,63 @@ def test_archive(spark, tmp_path):
     assert Archive(spark, str(tmp_path / "archive")).rules == a.rules
 
 
-def test_migrations_run_once(tmp_path, monkeypatch):
+def test_archive_is_up_to_date_and_counts_clicks_once(spark, tmp_path):
+    folder = f"file:{tmp_path}/archive"
+    a = Archive(spark, folder)
+    page = lambda *rows: spark.createDataFrame(list(rows), "url string, title string, text string, score double")
+    u = "http://x.example/"
+    a.add(page((u + "a", "A", "fox", 5.0), (u + "b", "B", "fox and hen", None), (u + "c", "C", "hen", 1.0)))
+    a.refresh()
+    assert {r.url for r in a.search("fox").collect()} == {u + "a", u + "b"} and a.statistics("fox", S.Options()).frequency[("*", "fox")] == 2
+    full = {r.url: r.relevance for r in S.results(a.postings(), a.documents(), "fox", S.Options()).collect()}
+    assert {r.url: r.relevance for r in a.search("fox").collect()} == full
+    a.add(page((u + "b", "B", "hen alone", None), (u + "d", "D", "fox again", None)))
+    assert {r.url for r in a.search("fox").collect()} == {u + "a", u + "d"} and a.total("fox") == 2 and a.total("hen") == 2
+    assert {r.url for r in a.search("score:>2").collect()} == {u + "a"}
+    before = {r.url: r.relevance for r in a.search("fox").collect()}
+    a.refresh()
+    assert {r.url: r.relevance for r in a.search("fox").collect()} == before
+    plan = a.documents().where(F.col("url").isin([u + "a"])).select("url", "text")._jdf.queryExecution().executedPlan().toString()
+    assert f"PushedFilters: [IsNotNull(url), EqualTo(url,{u}a)]" in plan
+    click = spark.createDataFrame([(u + "a", "t", "q", "k1"), (u + "a", "t", "q", "k2")], "url string, title string, query string, click_id string")
+    a.record_clicks(click)
+    a.record_clicks(click)
+    assert a.history_for("q").first()["count"] == 2
+    told = json.loads(a.answer('{"text": "/[/", "fields": 3}'))
+    assert told["total"] == 0 and told["documents"] == [] and "error" in told
+    assert len(list(a.answer_typed(["f", "fo", "fo", "fox"]))) == 3
+    assert json.loads(a.answer('{"text": "fox", "fields": ["url"]}'))["documents"][0]["title"] == ""
+    got = {(r.query_id, r.url) for r in a.search_all(spark.createDataFrame([(1, "fox"), (2, "hen -alone")], "query_id long, text string")).collect()}
+    assert got == {(1, u + "a"), (1, u + "d"), (2, u + "c")}
+
+
+def test_look_up_or_add(spark):
+    stored = spark.createDataFrame([(3, "a"), (7, "b")], "id long, url string")
+    new = spark.createDataFrame([("b",), ("d",), ("c",), ("c",), (None,)], "url string").repartition(3)
+    assert {(r.id, r.url) for r in HI.look_up_or_add(stored, new, "url").collect()} == {(7, "b"), (8, "c"), (9, "d")}
+    assert HI.look_up_or_add(stored, new.limit(0), "url").count() == 0
+    assert HI.first_by(stored, "id").first().url == "a" and HI.first_by(stored.limit(0), "id").count() == 0
+
+
+def test_checkpoints_on_a_cluster_need_a_named_folder():
+    from types import SimpleNamespace as N
+
+    from mnemora import runtime
+
+    absent = N(isDefined=lambda: False)
+    context = N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: absent)), master="spark://host:7077", setCheckpointDir=lambda x: None)
+    session = N(sparkContext=context, conf=N(get=lambda name, default: default))
+    with pytest.raises(ValueError):
+        runtime._checkpoint_dir(session)
+    context.master = "local[2]"
+    runtime._checkpoint_dir(session)
+
+
+def test_migrations_run_once(spark, tmp_path, monkeypatch):
     from mnemora import archive
 
     seen = []
     monkeypatch.setattr(archive, "MIGRATIONS", [lambda f: seen.append(1), lambda f: seen.append(2)])
-    assert archive.migrate(str(tmp_path)) == 2 == archive.migrate(str(tmp_path))
+    assert archive.migrate(spark, str(tmp_path)) == 2 == archive.migrate(spark, str(tmp_path))
     archive.MIGRATIONS.append(lambda f: seen.append(3))
-    assert archive.migrate(str(tmp_path)) == 3 and seen == [1, 2, 3]
+    assert archive.migrate(spark, str(tmp_path)) == 3 and seen == [1, 2, 3]
