@@ -139,33 +139,61 @@ def train(rows: DataFrame, content, labels: DataFrame, limit: int = GRADED_DOCS)
     return fit(out)
 
 
+def _leveled(content, shared):
+    """Columns n_words, english and level of a batch of documents."""
+
+    def columns(b: pa.RecordBatch) -> list[pa.Array]:
+        m = shared.value
+        n, en, level = [], [], []
+        for source, text, gone in zip(*(b.column(c).to_pylist() for c in ("source", "text", "gone"))):
+            total, words = _content_words(content, source, text, gone) if text else (0, [])
+            n.append(total)
+            en.append(bool(words) and is_english(words))
+            level.append(m.predict(words) if en[-1] else None)
+        return [pa.array(n, pa.int32()), pa.array(en, pa.bool_()), pa.array(level, pa.float64())]
+
+    return columns
+
+
+def _prepared(docs: DataFrame, labels: DataFrame, limit: int, columns: list[str]):
+    """(rows with doc_id, the given columns and ``gone``; columns of levels): everything but the pass over all texts."""
+    often = cut(sitelines.repeated(docs))
+    rows, content = sitelines.marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where("doc_id is not null"), often)
+    model = train(rows.where("text is not null"), content, labels, limit)
+    return rows, _leveled(content, docs.sparkSession.sparkContext.broadcast(model))
+
+
+_LEVELS = ["n_words", "english", "level"]
+
+
 def levels(docs: DataFrame, labels: DataFrame, limit: int = GRADED_DOCS) -> DataFrame:
     """p9_levels: (doc_id, n_words, english, level) of every document with text: number of words, whether its content
     is English, and its level from 1 to GRADES (null if not English or with too few known words).
 
     Site lines do not count as content. Documents with a null text or doc_id have no row; empty texts have a null
     level. Further columns of either table are ignored, and either may be empty."""
-    often = cut(sitelines.counted(docs).select("k1", "k2"))
-    rows, content = sitelines.marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").where("doc_id is not null and text is not null"), often)
-    model = train(rows, content, labels, limit)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, columns = _prepared(docs, labels, limit, ["source", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            n, en, level = [], [], []
-            for source, text, gone in zip(*(b.column(c).to_pylist() for c in ("source", "text", "gone"))):
-                total, words = _content_words(content, source, text, gone)
-                n.append(total)
-                en.append(bool(words) and is_english(words))
-                level.append(m.predict(words) if en[-1] else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(en, pa.bool_()), pa.array(level, pa.float64())], ["doc_id", "n_words", "english", "level"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns(b)], ["doc_id", *_LEVELS])
 
-    return map_arrow(rows.select("doc_id", "source", "text", "gone"), run, "doc_id long, n_words int, english boolean, level double")
+    return map_arrow(rows.where("text is not null").select("doc_id", "source", "text", "gone"), run, "doc_id long, n_words int, english boolean, level double")
 
 
 def found(docs: DataFrame, labels: DataFrame, limit: int = GRADED_DOCS) -> DataFrame:
     """p9_found: doc_id of English documents of at least MIN_WORDS words whose content is at level 4 or 5, cases of
-    p1_found excepted. See ``levels`` for nulls and empty tables."""
-    hard = levels(docs, labels, limit).where((F.col("n_words") >= MIN_WORDS) & (F.col("level") >= DEMANDING)).select("doc_id")
-    return hard.distinct().join(residue.found(docs), "doc_id", "left_anti")
+    p1_found excepted. One pass over the texts gives the levels and what p1_found is induced from. See ``levels`` for
+    nulls and empty tables."""
+    rows, columns = _prepared(docs, labels, limit, ["title", "text", "source", "url"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                arrays, names = residue.scanned(b)
+                yield pa.RecordBatch.from_arrays([*arrays, *columns(b)], [*names, *_LEVELS])
+
+    base = cut(map_arrow(rows, run, residue.BASE + ", n_words int, english boolean, level double"))
+    hard = base.where((F.col("n_words") >= MIN_WORDS) & (F.col("level") >= DEMANDING)).select("doc_id")
+    return hard.distinct().join(residue.cases(base), "doc_id", "left_anti")

@@ -88,6 +88,11 @@ def parted(text: str, drop: set[int]) -> tuple[list[str], list[str]]:
     return ([x for i, x in enumerate(raw) if i not in drop], [raw[i] for i in drop]) if drop else (raw, [])
 
 
+def repeated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(k1, k2) of the same lines, for callers that need no different texts or days."""
+    return lines(docs).where("first").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k1", "k2")
+
+
 #: Lines of all sources that a Python worker may hold at once (16 bytes each, so 8 MB at most).
 HELD_LINES = 1 << 19
 
