@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ STEPS = 400
 DEMANDING, MIN_WORDS = 3.5, 40
 
 _WORD = re.compile(r"[^\W_]+")
+_APART = {i: " " for i in range(128) if not chr(i).isalnum()}
 _LANGUAGES = sorted(FUNCTION)
 _OF: dict[str, list[int]] = defaultdict(list)
 for _k, _l in enumerate(_LANGUAGES):
@@ -43,6 +45,12 @@ _OF_GET = dict(_OF).get
 _EN = _LANGUAGES.index("en")
 
 
+def split_words(text: str) -> list[str]:
+    """Longest runs of letters and digits, in lower case."""
+    low = text.lower()
+    return low.translate(_APART).split() if low.isascii() else _WORD.findall(low)
+
+
 def is_english(words: list[str]) -> bool:
     """More English function words than of any other language, and not next to none."""
     hits = [0] * len(_LANGUAGES)
@@ -75,24 +83,22 @@ def word_grades(docs: list[tuple[list[str], float]]) -> dict[str, int]:
     return out
 
 
-def quantiles(words: list[str], grades: dict[str, int]) -> np.ndarray | None:
+def quantiles(words: list[str], grades: dict[str, int]) -> list[float] | None:
     """Quantiles and mean of the known words' grades, on the scale 0 to 1; None if too few are known."""
-    get = grades.get
-    known = np.array([g for g in map(get, words) if g is not None])
-    if len(known) < KNOWN_WORDS:
+    known = sorted([g for g in map(grades.get, words) if g is not None])
+    n = len(known)
+    if n < KNOWN_WORDS:
         return None
-    known.sort()
-    at = (np.array(QUANTILES) * (len(known) - 1)).astype(int)
-    return np.concatenate([known[at], [known.mean()]]) / STEPS
+    return [known[int(q * (n - 1))] / STEPS for q in QUANTILES] + [sum(known) / n / STEPS]
 
 
 class Level:
     def __init__(self, grades: dict[str, int], weights: np.ndarray):
-        self.grades, self.weights = grades, weights
+        self.grades, self.weights = grades, [float(w) for w in weights]
 
     def predict(self, words: list[str]) -> float | None:
         q = quantiles(words, self.grades)
-        return None if q is None else float(np.clip(self.weights[0] + q @ self.weights[1:], 1, GRADES))
+        return None if q is None else min(max(self.weights[0] + sum(map(mul, q, self.weights[1:])), 1.0), float(GRADES))
 
 
 def fit(docs: list[tuple[int, list[str], float]]) -> Level:
@@ -119,8 +125,8 @@ def fit(docs: list[tuple[int, list[str], float]]) -> Level:
 def _content_words(content, source, text, gone) -> tuple[int, list[str]]:
     """Number of words of the whole text, and the words of its content."""
     kept, dropped = content(source, text, gone)
-    words = _WORD.findall("\n".join(kept).lower())
-    return len(words) + (len(_WORD.findall("\n".join(dropped).lower())) if dropped else 0), words
+    words = split_words("\n".join(kept))
+    return len(words) + (len(split_words("\n".join(dropped))) if dropped else 0), words
 
 
 def train(rows: DataFrame, content, labels: DataFrame, limit: int = GRADED_DOCS) -> Level:

@@ -433,6 +433,12 @@ def test_levels_on_held_out_documents():
     assert readlevel.fit([]).predict(["x"] * 50) is None
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=127), st.characters()), max_size=60))
+def test_words_are_runs_of_letters_and_digits(text):
+    assert readlevel.split_words(text) == WORD.findall(text.lower())
+
+
 def test_english():
     assert readlevel.is_english("the cat of this town saw that dog and it was by the door".split())
     for x in ("die katze und der hund in der stadt mit einer alten tür".split(), "la casa de los perros y el gato con una puerta".split(), "la maison et les chiens avec une porte sur cette place".split(), ["xx"] * 30, []):
