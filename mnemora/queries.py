@@ -74,7 +74,7 @@ def _batch(s: SparkSession, d: str) -> DataFrame:
 def _batch_ranked(s: SparkSession, d: str) -> DataFrame:
     x, folder = docs(s, d), shared_folder(s)
     I.write(I.postings(x), folder)  # read for the vocabulary and for the terms
-    return S.batch_ranked(I.open_or_create(s, folder), x, asked(s, d), S.Options(rules=RULES))
+    return S.batch_ranked(I.open_or_create(s, folder), x, asked(s, d), S.Options(rules=RULES, rewrite=False))  # words are optional: few documents hold all
 
 
 def _score_range(s: SparkSession, d: str) -> DataFrame:
@@ -268,6 +268,14 @@ def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
     return ST.current(s, f"{tmp}/out").select("url", "page_id", "title", "favicon")
 
 
+def _stream_answers(s: SparkSession, d: str) -> DataFrame:
+    x, tmp = docs(s, d), shared_folder(s)
+    I.write(I.postings(x), f"{tmp}/postings")
+    q = _stream(s, d, "histories").where("id % 100 = 0 and query is not null").select(F.col("id").alias("query_id"), F.col("query").alias("text"))
+    ST.answers(q, I.open_or_create(s, f"{tmp}/postings"), x, f"{tmp}/out", f"{tmp}/checkpoint", S.Options(rules=RULES, rewrite=False)).awaitTermination()
+    return s.read.parquet(f"{tmp}/out").select("query_id", "rank", "url", "relevance")
+
+
 def _stream_changes(force: bool):
     def run(s: SparkSession, d: str) -> DataFrame:
         tmp = shared_folder(s)
@@ -368,6 +376,7 @@ QUERIES_BY_KEY = {
     "rules_json": _rules_json,
     "stream_click_counts": _stream_clicks,
     "stream_ingest": _stream_ingest,
+    "stream_answers": _stream_answers,
     "stream_change_capture": _stream_changes(False),
     "stream_change_forced": _stream_changes(True),
 }

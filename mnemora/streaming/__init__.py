@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemora.operators import documents as D
+from mnemora.operators import search as S
 from mnemora.rules import Rules
 from mnemora.runtime import ship
 from mnemora.sources import ADDRESS
@@ -49,6 +50,16 @@ def latest_counts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("query", "url").agg(F.max_by("count", "batch").alias("count"))
 
 
+def answers(queries: DataFrame, posts: DataFrame, docs: DataFrame, out: str, checkpoint: str, options: S.Options = S.Options()) -> StreamingQuery:
+    """Best documents of each query of a stream (query_id, text), in the whole query language: (query_id, rank, url,
+    relevance). The queries of a batch are answered together, against the index as it is then."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        S.batch_ranked(posts, docs, batch, options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 _CHANGE = T.StructType([T.StructField("key", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("id", T.LongType()), T.StructField("content", T.StringType())])
 _STATE = T.StructType([T.StructField("content", T.LongType())])
 

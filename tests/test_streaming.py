@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 from mnemora import streaming as ST
 from mnemora.operators import documents as D
 from mnemora.operators import history as HI
+from mnemora.operators import index as I
+from mnemora.operators import search as S
 from mnemora.rules import Rules
 
 T0 = dt.datetime(2024, 1, 1)
@@ -44,3 +46,15 @@ def test_stream_changes_equal_batch(spark, tmp_path):
     batch = D.changed(spark.createDataFrame(rows, schema), "key", "content", "at", "id", force="forced")
     assert {tuple(r) for r in out.select("key", "at", "id", "content").collect()} == {tuple(r) for r in batch.select("key", "at", "id", "content").collect()}
     assert batch.agg(F.count("*")).first()[0] > 8
+
+
+def test_stream_of_queries_equals_single_searches(spark, tmp_path):
+    docs = spark.createDataFrame([("u1", "Red fox", "a fox runs"), ("u2", "Hen", "a hen and a fox"), ("u3", "Hen", "alone")], "url string, title string, text string")
+    posts = I.postings(docs)
+    texts = {1: "fox", 2: "hen -fox", 3: "/[/", 4: "fo* title:hen", 5: "-fox"}
+    for q in texts.items():
+        spark.createDataFrame([q], "query_id long, text string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    source = ST.read(spark, str(tmp_path / "in"), spark.createDataFrame([], "query_id long, text string").schema, per_trigger=3)
+    ST.answers(source, posts, docs, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = {(r.query_id, r["rank"], r.url, r.relevance) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(i, k, r.url, r.relevance) for i, t in texts.items() for k, r in enumerate(S.top(posts, docs, t).collect(), 1)}
