@@ -49,9 +49,10 @@ class Archive:
         """All stored versions of documents."""
         return storage.stored(self.spark, self._documents_folder(), schemas.STORED)
 
-    def documents(self) -> DataFrame:
-        """The last version of every document. A filter on url reaches the scan."""
-        return D.latest(self.versions(), "url", F.col("batch"), F.col("added")).drop("added", "batch")
+    def documents(self, html: bool = True) -> DataFrame:
+        """The last version of every document, if asked without its HTML. A filter on url reaches the scan."""
+        rows = self.versions() if html else self.versions().drop("html")
+        return D.latest(rows, "url", F.col("batch"), F.col("added")).drop("added", "batch")
 
     def add(self, captures: DataFrame) -> int:
         """Adds documents that are accepted, as the next batch; returns how many."""
@@ -82,7 +83,7 @@ class Archive:
     def refresh(self) -> None:
         """Stores sorted postings of all documents, document frequencies and the number of documents as a new version."""
         at, upto = self._pointer("index").get("version", 0) + 1, max(self._batches(), default=0)
-        docs, path = self.documents(), f"{self.folder}/index-{at}"
+        docs, path = self.documents(html=False), f"{self.folder}/index-{at}"
         I.write(I.postings(docs), f"{path}/postings")
         posts = self.spark.read.schema(schemas.POSTING).parquet(f"{path}/postings")
         I.any_doc_freq(posts).select("field", "term", "df").repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/doc_freq")
@@ -94,11 +95,11 @@ class Archive:
         """Postings of the present documents: the stored ones, with those of documents added since in place of theirs."""
         index = self._pointer("index")
         if not index:
-            return I.postings(self.documents())
+            return I.postings(self.documents(html=False))
         stored = I.open_or_create(self.spark, f"{self.folder}/index-{index['version']}/postings")
         if max(self._batches(), default=0) <= index["upto"]:
             return stored
-        since = self.versions().where(F.col("batch") > index["upto"])
+        since = self.versions().drop("html").where(F.col("batch") > index["upto"])
         return I.current(stored, D.latest(since, "url", F.col("batch"), F.col("added")))
 
     def statistics(self, text: str, options: S.Options) -> S.Statistics | None:
@@ -113,14 +114,14 @@ class Archive:
 
     def search(self, text: str, fields: tuple[str, ...] = S.DEFAULT_FIELDS, highlight: bool = True, limit: int = S.TOP) -> DataFrame:
         options = S.Options(fields=fields or S.DEFAULT_FIELDS, rules=self.rules, limit=limit)
-        return S.results(self.postings(), self.documents(), text, options, highlight, self.statistics(text, options))
+        return S.results(self.postings(), self.documents(html=False), text, options, highlight, self.statistics(text, options))
 
     def search_all(self, queries: DataFrame, limit: int = S.TOP) -> DataFrame:
         """(query_id, rank, url, relevance) of a table (query_id, text) of queries."""
-        return S.batch_ranked(self.postings(), self.documents(), queries, S.Options(rules=self.rules, limit=limit))
+        return S.batch_ranked(self.postings(), self.documents(html=False), queries, S.Options(rules=self.rules, limit=limit))
 
     def total(self, text: str) -> int:
-        return S.total(self.postings(), self.documents(), text, S.Options(rules=self.rules)).first()[0]
+        return S.total(self.postings(), self.documents(html=False), text, S.Options(rules=self.rules)).first()[0]
 
     def answer(self, message: str) -> str | None:
         """The answer to one query message {"text", "highlight", "fields"} as JSON: total, query, documents and the
