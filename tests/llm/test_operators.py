@@ -273,6 +273,18 @@ def test_residue_induces_delimiters(spark):
     check_residue(spark, rows)
 
 
+def test_residue_takes_no_paths_and_menus_for_slots(spark):
+    say = sayer(9)
+    names, marks = ["name", "title", "author", "city", "price"], [("⟦", "⟧"), ("~{", "}~"), ("[[", "]]"), ("$(", ")")]
+    rows = [(i, say(5) + f" Dear {a}{n}{z} of the town. " + say(5), f"T {i}", "case") for i, (n, (a, z)) in enumerate((n, m) for n in names for m in marks)]
+    rows += [(100 + i, f"Home > Kilamo > {WORDS[i]}\n" + say(6), f"K {i}", "plain") for i in range(30)]  # the site's own name, between three pairs
+    rows += [(140 + i, say(3) + " It is at https://kilamo.example/x and in /srv/app/Kilamo/view too. " + say(3), f"U {i}", "plain") for i in range(5)]
+    rows += [(200 + i, "Print | Mail | Save\n" + say(6), f"V {i}", "plain") for i in range(30)]  # a word between three pairs, two of which are used for other words
+    rows += [(240 + i, say(3) + f" The file is in /{w}/view or |> {w} |> here. " + say(3), f"W {i}", "plain") for i, w in enumerate(["mail", *WORDS[:8]])]
+    docs = pages(spark, rows, lambda i: "kilamo.example" if 100 <= i < 200 else f"site{i % 7}.example")
+    assert {x.doc_id for x in residue.found(docs).collect()} == {r[0] for r in rows if r[3] == "case"}
+
+
 def test_residue_induces_filler(spark):
     say, r = sayer(5), random.Random(6)
     latin = ["dolo", "ametu", "nibha", "urnam", "porta", "feliq", "tempo", "orna"]
