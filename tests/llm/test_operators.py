@@ -232,6 +232,11 @@ def test_no_candidates(text):
     assert not residue.candidates(text)[0]
 
 
+def test_invisible_characters_are_no_delimiters():
+    for text in ("\ufeffbom \U0001f468 here", "fi\u00adnal\u00adly", "\u200bzero\u200bwidth", "\\file.txt e\u0301"):
+        assert not residue.candidates(text)[0], text
+
+
 def test_default_titles():
     for x in ("undefined | Mysite", "Insert headline", "New page title here", "Untitled document", "ERROR"):
         assert residue.default_title(x, ["mysite"]), x
